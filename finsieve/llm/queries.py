@@ -7,12 +7,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import byte_bpe
 from .common import documents
+from .exact_dedup import exact_duplicates
+from .packing import pack
+from .secrets import find_secrets
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe}
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
 
-ORACLES: dict[str, str] = {}
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
+
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": """
+        WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM n""",
+}
