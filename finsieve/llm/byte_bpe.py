@@ -22,8 +22,10 @@ from .common import over_texts
 
 #: Longer texts are split into pieces block by block.
 WHOLE_CHARS = 1 << 20
-#: Entries kept of encoded pieces and of judged pairs; beyond it, the memory starts anew.
-REMEMBERED = 300_000
+#: Entries kept of encoded pieces, of judged pairs and of prefixes; beyond it, the memory starts anew.
+REMEMBERED = 1_000_000
+#: Longer pieces aren't remembered.
+SHORT = 64
 
 
 class Vocabulary:
@@ -43,6 +45,8 @@ class Vocabulary:
         self.halves: list[tuple[int, int]] = [(r, r) for r in range(len(self.bytes_of))]
         self.merged: dict[tuple[int, int], int] = {}
         self.follows: dict[tuple[int, int], bool] = {}
+        #: Last tokens of prefixes that many pieces share.
+        self.prefixes: dict[bytes, int] = {}
         for rank in sorted(ranks.values()):
             token = self.bytes_of[rank]
             for cut in range(1, len(token)):
@@ -84,7 +88,22 @@ class Vocabulary:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else PrefixTable(self, piece).tokens()
+        if whole is not None:
+            return [whole]
+        return PrefixTable(self, piece).tokens() if len(piece) > SHORT else self._encode_short(piece)
+
+    def _encode_short(self, piece: bytes) -> list[int]:
+        """As PrefixTable does, with last tokens of prefixes taken from pieces before."""
+        known, table = self.prefixes, PrefixTable(self)
+        if len(known) >= REMEMBERED:
+            known.clear()
+        table.data, last = piece, table.last
+        for end in range(1, len(piece) + 1):
+            token = known.get(prefix := piece[:end])
+            if token is None:
+                token = known[prefix] = table._last_token(end)
+            last.append(token)
+        return table.tokens()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -163,7 +182,7 @@ class Pieces(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         made = np.array(self.vocabulary.encode_piece(piece.encode()), "<u4").tobytes()
-        if len(piece) <= 64:
+        if len(piece) <= SHORT:
             self[piece] = made
         return made
 
