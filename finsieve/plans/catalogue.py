@@ -503,10 +503,10 @@ def totals_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.totals(runs(spark, sf_dir))
 
 
-@query(f"{_TOTALS} SELECT string_agg('# TYPE doc_ai_' || name || ' counter' || chr(10) || 'doc_ai_' || name || ' ' || CAST(CAST(value AS BIGINT) AS VARCHAR) || chr(10), '' ORDER BY name) AS text FROM tt")
+@query(f"{_TOTALS} SELECT string_agg('# TYPE doc_ai_' || name || ' counter' || chr(10) || 'doc_ai_' || name || ' ' || CAST(CAST(round(value) AS BIGINT) AS VARCHAR) || chr(10), '' ORDER BY name) AS text FROM tt")
 def exposition_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S12; values as whole numbers here, as engines print doubles in different ways."""
-    return runlog.exposition(runlog.totals(runs(spark, sf_dir)).withColumn("value", F.col("value").cast("bigint")))
+    return runlog.exposition(runlog.totals(runs(spark, sf_dir)).withColumn("value", F.round("value").cast("bigint")))
 
 
 SM = f"sp AS ({samples_sql(DUCK)})"

@@ -1,0 +1,25 @@
+"""Rows of a Spark query against rows of SQL, in any order."""
+
+import duckdb
+import pandas as pd
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def oracle(sql: str, sf_dir: str) -> pd.DataFrame:
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return db.execute(sql).df()
+
+
+def plain(x) -> str:
+    if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
+        return "null"
+    if isinstance(x, (int, float)) and not isinstance(x, bool):
+        return repr(round(float(x), 9))
+    return str(x)
+
+
+def rows(df: pd.DataFrame) -> list[tuple[str, ...]]:
+    return sorted(tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False))

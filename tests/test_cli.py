@@ -1,0 +1,28 @@
+import json
+
+from finsieve import cli
+from finsieve.plans import catalogue
+
+
+def lines(path):
+    return [json.loads(x) for p in sorted(path.glob("part-*")) for x in p.read_text().splitlines()]
+
+
+def test_commands(spark, sf_dir, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a_raw.txt").write_text("Tổng tài sản 1.000\n")
+    cli.main(["extract", str(tmp_path / "in"), str(tmp_path / "x")])
+    assert lines(tmp_path / "x_extracted.json")[0]["tong_tai_san"] == 1000
+    catalogue.pages(spark, sf_dir).write.parquet(str(tmp_path / "r/page_text"))
+    catalogue.responses(spark, sf_dir).write.parquet(str(tmp_path / "r/responses"))
+    for flag in ([], ["--ocr-first"]):
+        cli.main(["route", str(tmp_path / "r"), str(tmp_path / "out"), *flag])
+        assert len(lines(tmp_path / "out_routed.json")) == 200
+    cli.main(["vlm", str(tmp_path / "r/responses"), str(tmp_path / "v")])
+    assert len(lines(tmp_path / "v_vlm.json")) == 200
+    cli.main(["metrics", str(tmp_path / "out_runs"), str(tmp_path / "m")])
+    text = "".join(p.read_text() for p in (tmp_path / "m").glob("part-*"))
+    assert "doc_ai_documents_ok_total 2.0\n" in text
+    spark.createDataFrame([(1, 1, 1, "x")], "doc_id long, page_no int, region_no int, text string").write.parquet(str(tmp_path / "t"))
+    cli.main(["ocr", str(tmp_path / "t"), str(tmp_path / "d")])
+    assert "".join(p.read_text() for p in (tmp_path / "d_raw.txt").glob("part-*")) == "===== PAGE 1 =====\nx\n\n"
