@@ -50,7 +50,7 @@ def routed(spark: SparkSession, source: str, target: str, ocr_first: bool = Fals
 
 def metrics(spark: SparkSession, source: str, target: str) -> None:
     """The exposition of a run log."""
-    runlog.exposition(runlog.totals(io.read_runs(spark, source))).write.mode("overwrite").option("lineSep", "").text(target)
+    io.write_text(runlog.exposition(runlog.totals(io.read_runs(spark, source))), target)
 
 
 def check(spark: SparkSession, source: str, target: str) -> None:

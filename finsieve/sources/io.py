@@ -85,8 +85,13 @@ def write_results(df: DataFrame, path: str, kind: str = "routed") -> None:
     df.select(*keep).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}_{kind}.json")
 
 
+def write_text(texts: DataFrame, path: str) -> None:
+    """Texts that end in a line feed, one after another; the writer adds the last one again."""
+    texts.select(F.regexp_replace(texts.columns[0], r"\n\z", "")).write.mode("overwrite").text(path)
+
+
 def write_raw(dumps: DataFrame, path: str) -> None:
-    dumps.select("dump").write.mode("overwrite").option("lineSep", "").text(f"{path}_raw.txt")
+    write_text(dumps.select("dump"), f"{path}_raw.txt")
 
 
 def append_runs(runs: DataFrame, path: str) -> bool:
