@@ -18,7 +18,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import over_texts
+from .common import held, over_texts
 
 #: Longer texts are split into pieces block by block.
 WHOLE_CHARS = 1 << 20
@@ -187,15 +187,17 @@ class Pieces(dict):
         return made
 
 
-@cache
 def vocabulary(path: str) -> Vocabulary:
+    return pieces(path).vocabulary
+
+
+def loaded(path: str) -> Vocabulary:
     with open(path, "rb") as lines:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
 
-@cache
 def pieces(path: str) -> Pieces:
-    return Pieces(vocabulary(path))
+    return held(("byte_bpe", path), lambda: Pieces(loaded(path)))
 
 
 @cache

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, over_texts, stored
+from .common import held, over_texts, stored
 
 SEPARATOR = 0
 CAPACITY = 2048
@@ -126,9 +125,8 @@ class Words:
         return []
 
 
-@cache
 def words(path: str) -> Words:
-    return Words(path)
+    return held(("packing", path), lambda: Words(path))
 
 
 def pieces_of(text: str | None, path: str, capacity: int, separator: int) -> list[tuple[int, int, int, int]]:

@@ -11,7 +11,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import over_texts, slices
+from .common import held, over_texts, slices
 
 #: Labelled rows that the chain is fitted on at most, those of the smallest hashes.
 LABELLED_ROWS = 8_000
@@ -33,7 +32,7 @@ FEATURES = 4_096
 LEAST_ROWS = 4
 FOLDS, STEPS, DECAY = 3, 150, 3e-3
 #: Words are kept with their weights; beyond so many the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -178,31 +177,13 @@ class Weights(dict):
         return made
 
 
-@lru_cache(4)
-def _weights(key: int, holder: "Held") -> Weights:
-    return Weights(holder.chain)
-
-
-class Held:
-    """A chain that is hashed by its key."""
-
-    def __init__(self, chain: Chain):
-        self.chain = chain
-
-    def __hash__(self) -> int:
-        return self.chain.key
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, Held) and other.chain.key == self.chain.key
-
-
-def predict(text: str | None, held: Held) -> list[float]:
+def predict(text: str | None, chain: Chain) -> list[float]:
     """Probabilities of the chain's categories for a whole text."""
-    known = _weights(held.chain.key, held)
+    known = held(("toxicity", chain.key), lambda: Weights(chain))
     hits = set().union(*map(known.__getitem__, set(WORD.findall((text or "").lower()))))
     found = [known.buckets[b] for b in sorted(hits)]
     out: list[float] = []
-    for i, model in enumerate(held.chain.models):
+    for i, model in enumerate(chain.models):
         x = model.bias + sum(w[i] for w in found) + sum(a * b for a, b in zip(model.earlier, out))
         out.append(float(probability(np.float64(x))))
     return out
@@ -216,14 +197,13 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", suffix: str = "
     """
     names = [c + suffix for c in chain.categories]
     docs = docs.drop(*names)
-    held = Held(chain)
     schema = StructType([*docs.schema.fields, *[StructField(name, DoubleType()) for name in names]])
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                made = [predict(t, held) for t in part.column(place).to_pylist()]
+                made = [predict(t, chain) for t in part.column(place).to_pylist()]
                 columns = list(zip(*made)) if made else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, pa.float64()) for c in columns]], names=schema.names)
 
