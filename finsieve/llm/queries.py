@@ -58,7 +58,7 @@ def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = [(hosts, "v % 3 <> 0", "add", F.col("v") % 400), (hosts, "v % 3 = 1", "remove", F.col("v") % 400 + 90), (hosts, "v % 6 = 1", "add", F.col("v") % 400 + 200), (domains, "v % 5 = 0", "add", F.col("v") % 600)]
     parts = [names.where(which).select("pattern", F.lit(action).alias("action"), day(at).alias("at")) for names, which, action, at in steps]
     events = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return filter_captures(pages, events)
+    return filter_captures(pages, events).withColumn("fetched_at", F.col("fetched_at").cast("string"))
 
 
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,5 +129,5 @@ ORACLES: dict[str, str] = {
             FROM c JOIN i ON (host = pattern OR ends_with(host, '.' || pattern)) AND action = 'add' AND fetched_at >= since AND (until IS NULL OR fetched_at < until)
             GROUP BY page_id
         )
-        SELECT c.page_id, host, fetched_at, matched, matched IS NOT NULL AS blocked FROM c LEFT JOIN m USING (page_id)""",
+        SELECT c.page_id, host, CAST(fetched_at AS VARCHAR) AS fetched_at, matched, matched IS NOT NULL AS blocked FROM c LEFT JOIN m USING (page_id)""",
 }

@@ -31,6 +31,8 @@ FEATURES = 4_096
 #: Rows of the sample in which a word must stand.
 LEAST_ROWS = 4
 FOLDS, STEPS, DECAY = 3, 150, 3e-3
+#: Bias of a model without examples.
+NEVER = -30.0
 #: Words are kept with their weights; beyond so many the memory starts anew.
 REMEMBERED = 300_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -127,18 +129,22 @@ def applied(sets: list[np.ndarray], model: tuple, earlier: np.ndarray) -> np.nda
 
 
 def train(sets: list[np.ndarray], labels: dict[str, np.ndarray]) -> Chain:
-    """A chain over the categories in the order given; folds are by position."""
+    """A chain over the categories in the order given; folds are by position.
+
+    A category of which there is no example is never predicted.
+    """
     fold = np.arange(len(sets)) % FOLDS
     earlier, models = np.zeros((len(sets), 0)), []
     for i, (category, wanted) in enumerate(labels.items()):
-        columns, word, bias, early = fit(sets, wanted, earlier)
+        columns, word, bias, early = fit(sets, wanted, earlier) if wanted.any() else (np.zeros(0, int), np.zeros(0), NEVER, np.zeros(i))
         models.append(Model(category, {int(c): float(w) for c, w in zip(columns, word) if w}, bias, tuple(map(float, early))))
         if i + 1 < len(labels):
             outside = np.zeros(len(sets))
             for f in range(FOLDS):
                 inside, out = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                model = fit([sets[j] for j in inside], wanted[inside], earlier[inside])
-                outside[out] = applied([sets[j] for j in out], model, earlier[out])
+                if wanted[inside].any():
+                    model = fit([sets[j] for j in inside], wanted[inside], earlier[inside])
+                    outside[out] = applied([sets[j] for j in out], model, earlier[out])
             earlier = np.column_stack([earlier, outside])
     return Chain(tuple(models), zlib.crc32(repr(models).encode()))
 

@@ -1,0 +1,156 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from finsieve.llm import simhash as s
+from finsieve.llm.components import components
+from finsieve.llm.queries import op1_simhash_near_dedup
+
+
+def fingerprint(text, k=4):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    runs = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [b" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups(ids, linked):
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and linked(a, b):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+def texts(n, seed):
+    draw = random.Random(seed)
+    words = ["".join(draw.choice("abcdéñßÀ") for _ in range(draw.randint(1, 6))) for _ in range(150)]
+    out = [None, "", " \t\n", "One", "one", "a b", "a b c d", "A B C", "x" * 50_000]
+    while len(out) < n:
+        if draw.random() < 0.5 and len(out) > 20:
+            copy = (draw.choice(out[9:]) or "").split(" ")
+            for _ in range(draw.randint(0, 3)):
+                copy[draw.randrange(len(copy))] = draw.choice(words)
+            out.append(" ".join(copy))
+        else:
+            out.append(" ".join(draw.choice(words) for _ in range(draw.randint(1, 120))))
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [4, 1024])
+def test_components_equal_brute_force(docs_of, shard_rows):
+    made = texts(260, 7)
+    want = {i: fingerprint(t) for i, t in enumerate(made)}
+    linked = groups(list(want), lambda a, b: (want[a] ^ want[b]).bit_count() <= 4)
+    got = s.simhash_groups(docs_of(made), shard_rows=shard_rows).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{want[i]:016x}", linked[i]) for i in want}
+    assert len(set(linked.values())) < 240
+
+
+def test_whole_query_on_the_small_table(spark, sf_dir):
+    docs = {r["doc_id"]: fingerprint(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    linked = groups(list(docs), lambda a, b: (docs[a] ^ docs[b]).bit_count() <= 4)
+    got = op1_simhash_near_dedup(spark, sf_dir).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == linked and len(got) == len(docs)
+
+
+def test_odd_rows(docs_of):
+    assert s.simhash_groups(docs_of(["a"]).limit(0)).count() == 0
+    got = s.simhash_groups(docs_of(["", None, "a b c d e", "a b c d e", "q r s t u v w"], ids=[5, None, 7, 7, None])).collect()
+    assert sorted((str(r["doc_id"]), r["fingerprint"] == "0" * 16, str(r["component_id"])) for r in got) == [("5", True, "5"), ("7", False, "7"), ("7", False, "7"), ("None", False, "None"), ("None", True, "5")]
+
+
+def test_tree_finds_all_within_the_radius():
+    draw = random.Random(1)
+    base = [draw.getrandbits(64) for _ in range(5)]
+    values = [draw.choice(base) ^ sum(1 << draw.randrange(64) for _ in range(draw.randint(0, 9))) & (2**64 - 1) for _ in range(400)]
+    tree = s.BkTree()
+    for v in values:
+        tree.add(v)
+    for q in values[:60]:
+        assert tree.near(q, 4) == sorted(((q ^ v).bit_count(), i) for i, v in enumerate(values) if (q ^ v).bit_count() <= 4)
+    assert s.BkTree().near(0, 4) == []
+
+
+@pytest.mark.parametrize("n", [1, 10**6, 10**8, 10**10, 10**13])
+def test_every_pair_within_the_radius_shares_a_key(n):
+    masks = s.key_masks(4, n)
+    draw = random.Random(n)
+    for _ in range(300):
+        a = draw.getrandbits(64)
+        b = a
+        for bit in draw.sample(range(64), draw.randint(0, 4)):
+            b ^= 1 << bit
+        assert any(a & m == b & m for m in masks)
+    assert len(masks) <= 126
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    draw = random.Random(2)
+    edges = [(i, i + 1) for i in range(1, 300)] + [(1000, i) for i in range(1001, 1400)] + [(5, 5)] + [(draw.randrange(2000, 2300), draw.randrange(2000, 2300)) for _ in range(250)]
+    want = groups(sorted({x for e in edges for x in e}), lambda a, b: False)
+    parent = dict(want)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    draw.shuffle(edges)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges + edges[:50], "a long, b long")).collect()}
+    assert got == {i: root(i) for i in got} and set(got) >= {x for e in edges for x in e if e[0] != e[1]}
+
+
+def grams(text, k=5):
+    words = s.words_of(text)
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+@pytest.mark.parametrize("shard_rows", [3, 512])
+def test_near_duplicates_equal_brute_force(docs_of, shard_rows):
+    made = texts(220, 9)
+    sets = [grams(t) for t in made]
+    similar = lambda a, b: (not sets[a] and not sets[b]) or (len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) >= 0.8)
+    want = {i: r for i, r in groups(range(len(made)), similar).items() if i != r}
+    got = {r["node"]: r["component"] for r in s.near_duplicates(docs_of(made), shard_rows=shard_rows).where("node <> component").collect()}
+    assert len(want) > 20 and len(set(want.items()) ^ set(got.items())) <= 0.02 * len(want)
+    kept = {r["doc_id"] for r in s.drop_near_duplicates(docs_of(made)).select("doc_id").collect()}
+    assert kept == set(range(len(made))) - set(got)
+
+
+def test_near_duplicates_of_odd_rows(docs_of):
+    same = "one two three four five six seven"
+    docs = docs_of([same, same, same, None, "", same], ids=[3, 3, 9, None, 4, None])
+    kept = s.drop_near_duplicates(docs)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "3", "4", "None", "None"] and kept.columns == docs.columns
+    assert s.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_long_texts_are_counted_in_blocks(monkeypatch):
+    words = s.words_of(" ".join(str(i) for i in range(1000)))
+    whole = s.simhash(s.shingle_hashes(words, 4))
+    monkeypatch.setattr(s, "HASHES", 7)
+    assert s.simhash(s.shingle_hashes(words, 4)) == whole and sum(map(len, s.shingle_hashes(words, 4))) == 997
+
+
+def test_hot_near_copies_make_few_links(spark):
+    """A bucket of n near fingerprints gives at most n links a key and shard pair, never all pairs."""
+    rows = [(i, s.signed(int(np.random.RandomState(i).randint(0, 2**16)))) for i in range(1200)]
+    distinct = spark.createDataFrame(rows, "node long, fp long").dropDuplicates(["fp"])
+    n = distinct.count()
+    assert s.near_fingerprints(distinct, 4, 128).count() < 5 * n * (n // 128 + 2)
+    assert components(s.near_fingerprints(distinct, 4, 128)).agg(F.count_distinct("component")).first()[0] >= 1
