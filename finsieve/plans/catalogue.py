@@ -517,15 +517,15 @@ def _increased(seconds: int) -> str:
     return f"inc AS (SELECT metric, ts, value, sum(delta) OVER (PARTITION BY metric ORDER BY ts RANGE BETWEEN INTERVAL {seconds - 1} SECONDS PRECEDING AND CURRENT ROW) AS increase FROM de)"
 
 
-@query(f"WITH {SM}, {_DELTA}, {_increased(3600)} SELECT * FROM inc")
+@query(f"WITH {SM}, {_DELTA}, {_increased(3600)} SELECT metric, CAST(epoch(ts) AS BIGINT) AS ts, value, increase FROM inc")
 def counter_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runlog.increase(samples(spark, sf_dir), 3600)
+    return runlog.increase(samples(spark, sf_dir), 3600).withColumn("ts", F.unix_timestamp("ts"))
 
 
 @query(f"""WITH {SM}, {_DELTA}, {_increased(6000)}, w AS (SELECT ts, max(increase) FILTER (WHERE metric = 'errors_7') / 6000 AS part, max(increase) FILTER (WHERE metric = 'documents_7') / 6000 AS whole FROM inc GROUP BY ts)
-    SELECT ts, part / whole AS ratio FROM w WHERE whole > 0""")
+    SELECT CAST(epoch(ts) AS BIGINT) AS ts, part / whole AS ratio FROM w WHERE whole > 0""")
 def counter_rate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runlog.ratio_of_rates(samples(spark, sf_dir), "errors_7", "documents_7", 6000)
+    return runlog.ratio_of_rates(samples(spark, sf_dir), "errors_7", "documents_7", 6000).withColumn("ts", F.unix_timestamp("ts"))
 
 
 @query(f"WITH {SM} SELECT metric AS target, arg_max(value, ts) AS up FROM sp GROUP BY metric")
