@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # How a turn is rendered.
 OPEN, ROLE_END, CLOSE = "<|", "|>\n", "<|end|>\n"
 
@@ -61,7 +63,7 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 def maximal(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies) of the conversations that begin no longer one; of equal ones the smallest conv_id, with how many there are."""
-    known = beginnings(turns_of(conversations))
+    known = stored(beginnings(turns_of(conversations)), "beginnings")
     whole = known.where("last").groupBy("digest").agg(F.min("conv_id").alias("conv_id"), F.first("n").alias("n_turns"), F.count("*").alias("n_copies"))
     return whole.join(known.where("not last").select("digest").distinct(), "digest", "left_anti").select("conv_id", "n_turns", "n_copies")
 
