@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +61,12 @@ def route(page_text: DataFrame, responses: DataFrame, config: RouteConfig = Rout
 
     Text extraction runs on all documents only if it is asked for; the model's replies are used only
     for documents that the gate then rejects, found by an anti join, and overwrite what the text gave
-    (a rejected record always has a warning). Nothing is gated again after the model.
+    (a rejected record always has a warning). Nothing is gated again after the model. What the text
+    gave stays cached until the session's cache is cleared, a row per document.
     """
     documents = page_text.select("doc_id").distinct()
     if config.ocr_first:
-        text = ocr_branch(page_text)
+        text = ocr_branch(page_text).persist(StorageLevel.MEMORY_AND_DISK)  # a slim row per document, wanted twice
         passed = text.where("stopped").select("doc_id")
         needing = documents.join(passed, "doc_id", "left_anti")
         ocr = text.select("doc_id", *[F.when(F.col(k).isNotNull(), F.struct(F.lit("int").alias("kind"), F.col(k).cast("string").alias("txt"))).alias(f"ocr_{k}") for k in KEYS], F.col("stop_page").alias("ocr_stop"), (~F.col("stopped")).alias("vlm_needed"))

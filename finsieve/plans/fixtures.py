@@ -70,7 +70,11 @@ def _row(d: Dialect, label: str, code: str, value: str, variants: bool = True) -
 
 
 def pages_sql(d: Dialect, docs: str = "documents") -> str:
-    """doc_id, page_no, text: prose, two pages of balance sheet, the income statement, prose."""
+    """doc_id, page_no, text: prose, two pages of balance sheet, the income statement, prose.
+
+    The join is by a shuffle on doc_id, by which pages then lie as merging needs them, and which
+    spreads the texts of a file that Spark can't split.
+    """
     def page(n: int, marker: str, blurred: str) -> str:
         parts = [f"'Mẫu số ' || CASE WHEN doc_id % 3 = 0 THEN '{blurred}' ELSE '{marker}' END || ' - DN' || chr(10)"]
         for key in PAGES[n]:
@@ -85,7 +89,7 @@ def pages_sql(d: Dialect, docs: str = "documents") -> str:
         SELECT s.doc_id, CAST(page_no AS INT) AS page_no, CASE page_no
             WHEN 2 THEN {page(2, 'B01a', 'BOla')} WHEN 3 THEN {page(3, 'B01a', 'BOla')} WHEN 4 THEN {page(4, 'B02a', 'BO2a')}
             ELSE body END AS text
-        FROM (SELECT s.*, coalesce(t.text, '') AS body FROM ({statements_sql(d, docs)}) s JOIN {docs} t ON s.doc_id = t.doc_id) s {d.generate}"""
+        FROM (SELECT /*+ MERGE(s) */ s.*, coalesce(t.text, '') AS body FROM ({statements_sql(d, docs)}) s JOIN {docs} t ON s.doc_id = t.doc_id) s {d.generate}"""
 
 
 def responses_sql(d: Dialect, docs: str = "documents") -> str:

@@ -29,11 +29,11 @@ class PageRenderer(Protocol):
 
 
 class LayoutBackend(Protocol):
-    def detect(self, image: bytes) -> list[tuple[str, float, float, float, float]]: ...
+    def detect(self, image: bytes) -> tuple[int, int, list[tuple[str, float, float, float, float]]]: ...
 
 
 class OcrBackend(Protocol):
-    def read(self, image: bytes) -> list[str]: ...
+    def read(self, image: bytes, box: tuple[int, int, int, int]) -> list[str]: ...
 
 
 class VlmBackend(Protocol):
@@ -134,6 +134,45 @@ def pages_of(documents: DataFrame, renderer: Callable[[], PageRenderer]) -> Data
     return counted.select("path", F.explode(F.sequence(F.lit(1), F.greatest("n_pages", F.lit(1)))).alias("page_no"))
 
 
+def render_pages(pages: DataFrame, renderer: Callable[[], PageRenderer]) -> DataFrame:
+    """pages (path, page_no) with image; one page at a time is rendered and held."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = held(renderer, renderer)
+        for pdf in frames:
+            for path, page_no in zip(pdf["path"], pdf["page_no"]):
+                yield pd.DataFrame({"path": [path], "page_no": [page_no], "image": [r.render(path, page_no)]})
+
+    return pages.select("path", "page_no").mapInPandas(run, "path string, page_no int, image binary")
+
+
+def detect_boxes(images: DataFrame, backend: Callable[[], LayoutBackend]) -> DataFrame:
+    """(doc_id, page_no, width, height, boxes) of images (doc_id, page_no, image), as the layout operators take them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = held(backend, backend)
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                width, height, found = model.detect(r.image)
+                rows.append((r.doc_id, r.page_no, width, height, [dict(zip(("idx", "cls", "x1", "y1", "x2", "y2"), (i, *b))) for i, b in enumerate(found)]))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "width", "height", "boxes"])
+
+    return images.select("doc_id", "page_no", "image").mapInPandas(run, "doc_id long, page_no int, width int, height int, boxes array<struct<idx:int,cls:string,x1:double,y1:double,x2:double,y2:double>>")
+
+
+def read_regions(regions: DataFrame, backend: Callable[[], OcrBackend]) -> DataFrame:
+    """(doc_id, page_no, region_no, text) of regions with their page's image: the lines that are recognised, joined."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = held(backend, backend)
+        for pdf in frames:
+            texts = ["\n".join(reader.read(i, (b["x1"], b["y1"], b["x2"], b["y2"]))) for i, b in zip(pdf["image"], pdf["region"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "page_no": pdf["page_no"], "region_no": pdf["region_no"], "text": texts})
+
+    return regions.select("doc_id", "page_no", "region_no", "region", "image").mapInPandas(run, "doc_id long, page_no int, region_no int, text string")
+
+
 @dataclass
 class Stopper:
     """The state of one document while its pages stream by: what was found, and when it is enough."""

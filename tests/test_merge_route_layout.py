@@ -180,3 +180,24 @@ def test_pages_of_documents(spark):
 
     made = backends.pages_of(spark.createDataFrame([("a.pdf",), ("b.png",)], "path string"), Renderer)
     assert sorted(map(tuple, made.collect())) == [("a.pdf", 1), ("a.pdf", 2), ("a.pdf", 3), ("b.png", 1)]
+
+
+def test_live_chain_of_pages_boxes_and_texts(spark):
+    class Live:
+        def count_pages(self, path):
+            return 2
+
+        def render(self, path, page_no):
+            return f"{path}#{page_no}".encode()
+
+        def detect(self, image):
+            return 100, 50, [("table", 10.5, 30.0, 20.0, 40.0), ("table", 10.5, 5.0, 20.0, 9.0)] if image.endswith(b"1") else []
+
+        def read(self, image, box):
+            return [image.decode(), str(box[1])]
+
+    docs = spark.createDataFrame([("a.pdf",)], "path string")
+    images = backends.render_pages(backends.pages_of(docs, Live), Live).withColumn("doc_id", F.lit(1))
+    regions = layout.exploded_regions(backends.detect_boxes(images, Live)).join(images.drop("path"), ["doc_id", "page_no"])
+    got = {r["page_no"]: r["text"] for r in layout.page_text(backends.read_regions(regions, Live)).collect()}
+    assert got == {1: "a.pdf#1\n0\na.pdf#1\n22", 2: "a.pdf#2\n0"}
