@@ -1,6 +1,9 @@
 """Rows of a Spark query against rows of SQL, in any order."""
 
+from numbers import Number
+
 import duckdb
+import numpy as np
 import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -16,7 +19,7 @@ def oracle(sql: str, sf_dir: str) -> pd.DataFrame:
 def plain(x) -> str:
     if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
         return "null"
-    if isinstance(x, (int, float)) and not isinstance(x, bool):
+    if isinstance(x, Number) and not isinstance(x, (bool, np.bool_)):
         return repr(round(float(x), 9))
     return str(x)
 
