@@ -36,7 +36,7 @@ KINDS = [*LEAST, *WIDE]
 LEAST_BITS = 3.5
 #: Values held by more owners, or in more repositories, are copied examples.
 LIVE_OWNERS = 2
-FOUND = "base_sha256 string, found array<struct<start:long,kind_no:int,end:long,hash:string>>"
+FOUND = "text_sha256 string, base_sha256 string, found array<struct<start:long,kind_no:int,end:long,hash:string>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -74,11 +74,11 @@ def scanned(texts: list[str | None]) -> Iterator[tuple]:
     for text in texts:
         base = base_spans(text or "")
         spans = base + wide_spans(text or "", base)
-        yield digest(base), [(s, k, e, hashlib.sha256(f"{KINDS[k] if k else 'value'}\0{v}".encode()).hexdigest()) for s, k, e, v in spans]
+        yield hashlib.sha256((text or "").encode()).hexdigest(), digest(base), [(s, k, e, hashlib.sha256(f"{KINDS[k] if k else 'value'}\0{v}".encode()).hexdigest()) for s, k, e, v in spans]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
-    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, live (array of start and end of live spans), n_live, n_copied.
+    """One row per document: id, text_sha256, n_assign, n_access, n_hex, base_sha256, spans, live (array of start and end of live spans), n_live, n_copied.
 
     An owner is what stands before the first slash of a repository. Only slim rows are shuffled:
     hashes are counted by owner before they are counted at all, so that a value which a third of all
@@ -90,7 +90,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.select(F.col(id_col).alias("__id"), F.col(repository_col).cast("string").alias("__repository"), F.col(text_col).alias("__text"))
     found = stored(over_texts(slim, ["__id", "__repository"], "__text", FOUND, scanned).withColumn("__row", F.monotonically_increasing_id()), "secrets-found")
     repository = F.coalesce(F.concat(F.lit("="), F.col("__repository")), F.lit(""))
-    held = found.select("__row", "__id", "base_sha256", F.explode("found").alias("span"), repository.alias("repository"))
+    held = found.select("__row", "__id", "text_sha256", "base_sha256", F.explode("found").alias("span"), repository.alias("repository"))
     owners = (
         held.groupBy(F.col("span.hash").alias("hash"), "repository")
         .agg(F.lit(1).alias("one"))
@@ -102,12 +102,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         held.join(owners, F.col("span.hash") == F.col("hash"))
         .withColumn("live", live)
         .groupBy("__row")
-        .agg(F.first("__id").alias("__id"), F.first("base_sha256").alias("base_sha256"), F.array_sort(F.collect_list(F.struct("span.start", "span.kind_no", "span.end", "live"))).alias("all"))
+        .agg(*[F.first(c).alias(c) for c in ("__id", "text_sha256", "base_sha256")], F.array_sort(F.collect_list(F.struct("span.start", "span.kind_no", "span.end", "live"))).alias("all"))
     )
-    return judged.select("__id", "base_sha256", "all").unionByName(
-        found.where(F.size("found") == 0).select("__id", "base_sha256", F.expr("cast(array() as array<struct<start:long,kind_no:int,end:long,live:boolean>>)").alias("all"))
+    return judged.select("__id", "text_sha256", "base_sha256", "all").unionByName(
+        found.where(F.size("found") == 0).select("__id", "text_sha256", "base_sha256", F.expr("cast(array() as array<struct<start:long,kind_no:int,end:long,live:boolean>>)").alias("all"))
     ).select(
         F.col("__id").alias(id_col),
+        "text_sha256",
         *[counted(i).alias(f"n_{kind}") for i, kind in enumerate(LEAST)],
         "base_sha256",
         spelled().alias("spans"),
@@ -145,14 +146,12 @@ def masked(text: str | None, live: list[tuple[int, int]] | None, mask: str = "[S
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
     """The documents, all columns kept, with live-looking credentials masked in their texts and copied examples left.
 
-    Only texts that hold a live span are matched with their spans by id; ids should be unique (with
-    repeated ids, each row gets the spans of its own text, as digests of the texts are compared too).
+    A row's spans are found by its id and its text's digest, so repeated ids do no harm. Other
+    columns stay as they are; a null text stays null; an empty table gives no rows.
     """
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    marked = docs.withColumn("__key", key)
-    spans = find_secrets(marked.select(id_col, text_col, repository_col), id_col, text_col, repository_col, live_owners)
-    spans = stored(spans.where("n_live > 0").select(F.col(id_col).alias("__id"), "base_sha256", "live"), "secrets-live")
-    joined = docs.join(spans.groupBy("__id").agg(F.min_by("live", "base_sha256").alias("__live")), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    spans = find_secrets(docs.select(id_col, text_col, repository_col), id_col, text_col, repository_col, live_owners)
+    live = stored(spans.where("n_live > 0").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("live").alias("__live")).dropDuplicates(["__id", "__sha"]), "secrets-live")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__sha"))
 
     @F.pandas_udf("string")
     def replaced(texts, lives):
@@ -160,4 +159,4 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return pd.Series([masked(t, None if live is None else [(x["start"], x["end"]) for x in live]) for t, live in zip(texts, lives, strict=True)], dtype=object)
 
-    return joined.withColumn(text_col, F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(replaced(text_col, "__live"))).select(*docs.columns)
+    return docs.join(live, same, "left").withColumn(text_col, F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(replaced(text_col, "__live"))).select(*docs.columns)

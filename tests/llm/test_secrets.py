@@ -65,6 +65,9 @@ def test_masking(docs_of):
     got = found(s.mask_secrets(docs))
     assert got[0]["text"] == "a [SECRET] b" and got[1]["text"] == KEY and got[4]["text"] is None and got[5]["text"] == "clean"
     assert s.mask_secrets(docs).columns == docs.columns and len(got) == 6
+    twice = s.mask_secrets(docs_of(["token=abcdefgh1", "no token=abcdefgh2", None, "token=abcdefgh3"], ids=[1, 1, None, None], sources=["a"] * 4)).collect()
+    assert sorted(str(r["text"]) for r in twice) == ["None", "[SECRET]", "[SECRET]", "no [SECRET]"]
+    assert s.mask_secrets(docs.limit(0)).count() == 0
     assert s.masked("abcdef", [(1, 3), (2, 5), (2, 3)], "#") == "a#f"
 
 
