@@ -1,0 +1,34 @@
+import json
+import threading
+import urllib.error
+import urllib.request
+
+import pytest
+
+from finsieve.operators.router import RouteConfig
+from finsieve.service import serve
+
+from .test_merge_route_layout import body, pages_text
+from .test_numbers_and_rules import GOLDEN
+
+
+def test_service(spark):
+    server = serve(spark, 0, RouteConfig(ocr_first=True))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+
+    def post(name, **asked):
+        return json.loads(urllib.request.urlopen(urllib.request.Request(f"{root}/extract?name={name}", json.dumps(asked).encode())).read())
+
+    try:
+        made = post("../a.pdf", pages=[pages_text(GOLDEN)])
+        assert made == {"data": GOLDEN, "warnings": []}
+        made = post("b.png", pages=["x"], replies=[body(tong_tai_san="abc")])
+        assert made["data"]["tong_tai_san"] is None and len(made["warnings"]) == 1
+        for name, asked in (("x.exe", {"pages": []}), ("x.pdf", {})):
+            with pytest.raises(urllib.error.HTTPError, match="400"):
+                post(name, **asked)
+        text = urllib.request.urlopen(f"{root}/metrics").read().decode()
+        assert "doc_ai_documents_ok_total 2.0\n" in text and "doc_ai_vlm_calls_total 1.0\n" in text and "doc_ai_stage_route_seconds_total" in text
+    finally:
+        server.shutdown()
