@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from finsieve.llm import vptree as v
-from finsieve.llm.queries import op2_vantage_point_ann
+from finsieve.llm.queries import ORACLES, op2_vantage_point_ann
+
+from ..compare import oracle, rows
 
 
 def brute(rows, k, asked):
@@ -26,20 +28,17 @@ def found(df):
 @pytest.mark.parametrize(("shard_rows", "block_rows"), [(8192, 2048), (37, 5)])
 def test_equals_brute_force(spark, shard_rows, block_rows):
     draw = random.Random(4)
-    rows = [(i, [draw.gauss(0, 1) for _ in range(6)]) for i in range(400)]
-    rows = [(i, x if i % 3 else rows[0][1]) for i, x in rows]  # a third are equal
-    rows += [(400, None), (401, [0.0] * 6), (402, [None, 1.0, 1.0, 1.0, 1.0, 1.0]), (403, [float("nan")] + [1.0] * 5), (404, [float("inf")] + [1.0] * 5), (405, []), (None, [1.0] * 6), (420, [9.0] * 6), (440, [-9.0] * 6), (440, [2.0] * 6)]
-    df = spark.createDataFrame([(i, x, "c", 1.0, 3) for i, x in rows], "vec_id long, embedding array<double>, rank string, score double, row int")
+    made = [(i, [draw.gauss(0, 1) for _ in range(6)]) for i in range(400)]
+    made = [(i, x if i % 3 else made[0][1]) for i, x in made]  # a third are equal
+    made += [(400, None), (401, [0.0] * 6), (402, [None, 1.0, 1.0, 1.0, 1.0, 1.0]), (403, [float("nan")] + [1.0] * 5), (404, [float("inf")] + [1.0] * 5), (405, []), (None, [1.0] * 6), (420, [9.0] * 6), (440, [-9.0] * 6), (440, [2.0] * 6)]
+    df = spark.createDataFrame([(i, x, "c", 1.0, 3) for i, x in made], "vec_id long, embedding array<double>, rank string, score double, row int")
     got = found(v.nearest(df, k=7, shard_rows=shard_rows, block_rows=block_rows))
     rounded = lambda rows: sorted((q, r, j, round(float(s), 9)) for q, r, j, s in rows)
-    assert rounded(got) == rounded(brute(rows, 7, lambda i: i % 20 == 0))
+    assert rounded(got) == rounded(brute(made, 7, lambda i: i % 20 == 0))
 
 
 def test_whole_query(spark, sf_dir):
-    rows = [(r[0], list(r[1])) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
-    want = {(q, j) for q, _, j, _ in brute(rows, 20, lambda i: i % 20 == 0)}
-    got = found(op2_vantage_point_ann(spark, sf_dir))
-    assert len(got) == len(want) and {(q, j) for q, _, j, _ in got} == want
+    assert rows(op2_vantage_point_ann(spark, sf_dir).toPandas()) == rows(oracle(ORACLES["op2_vantage_point_ann"], sf_dir))
 
 
 def test_few_and_none(spark):
