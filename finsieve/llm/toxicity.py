@@ -76,11 +76,11 @@ class Rows:
     """Sets of features as one sparse matrix of ones, restricted to chosen columns."""
 
     def __init__(self, sets: list[np.ndarray], columns: np.ndarray):
-        place = np.full(BUCKETS, -1, np.int64)
-        place[columns] = np.arange(len(columns))
+        place = np.full(BUCKETS, -1, np.int32)
+        place[columns] = np.arange(len(columns), dtype=np.int32)
         found = [p[p >= 0] for p in (place[s] for s in sets)]
-        self.row = np.repeat(np.arange(len(sets)), [len(f) for f in found])
-        self.column = np.concatenate([*found, np.zeros(0, np.int64)])
+        self.row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(f) for f in found])
+        self.column = np.concatenate([*found, np.zeros(0, np.int32)])
         self.shape = len(sets), len(columns)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
@@ -160,8 +160,10 @@ def train_on(docs: DataFrame, labels: DataFrame, categories: dict[str, str], lab
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
     names = [f"__y{i}" for i in range(len(wanted))]
     made = over_texts(texts, ["__id", *names], "__text", "words array<int>", lambda ts: ((features(t).tolist(),) for t in ts)).toArrow()
-    made = made.sort_by([("__id", "ascending")]).slice(0, labelled_rows)
-    sets = [np.array(w, np.int32) for w in made["words"].to_pylist()]
+    made = made.sort_by([("__id", "ascending")]).slice(0, labelled_rows).combine_chunks()
+    words = pa.concat_arrays(made["words"].chunks) if made.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat, bounds = words.values.to_numpy(), words.offsets.to_numpy()
+    sets = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
     return train(sets, {c: np.array(made[n].to_pylist(), float) for c, n in zip(categories, names)})
 
 
