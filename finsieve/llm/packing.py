@@ -20,7 +20,7 @@ OPEN_BINS = 4096
 WINDOW = 5000
 #: Documents that one packer takes, as expected by hashing.
 SHARD_ROWS = 200_000
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 
 class BestFit:
