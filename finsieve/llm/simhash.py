@@ -245,10 +245,12 @@ def band_keys(hashes: np.ndarray, bands: int = BANDS, size: int = BAND_HASHES) -
 
 
 def sketch(text: str | None, k: int) -> tuple[int, list[int], bytes]:
-    """Fingerprint, band keys and the set of shingles as sorted 32-bit hashes."""
-    blocks = list(shingle_hashes(words_of(text), k))
-    hashes = np.unique(np.concatenate(blocks))
-    return signed(simhash(blocks)), band_keys(hashes), np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
+    """Fingerprint, band keys and the set of shingles as sorted 32-bit hashes.
+
+    The fingerprint is of the set too, without repeats: what repeats unevenly doesn't change similarity.
+    """
+    hashes = np.unique(np.concatenate(list(shingle_hashes(words_of(text), k))))
+    return signed(simhash([hashes])), band_keys(hashes), np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, shard_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

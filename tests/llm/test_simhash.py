@@ -154,3 +154,15 @@ def test_hot_near_copies_make_few_links(spark):
     n = distinct.count()
     assert s.near_fingerprints(distinct, 4, 128).count() < 5 * n * (n // 128 + 2)
     assert components(s.near_fingerprints(distinct, 4, 128)).agg(F.count_distinct("component")).first()[0] >= 1
+
+
+def test_uneven_repeats_do_not_hide_near_duplicates(docs_of):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(7))
+    made = []
+    for _ in range(20):
+        body, line = [word() for _ in range(300)], [word() for _ in range(12)]
+        made += [" ".join(body + line), " ".join(body + line * 30)]
+    assert all(len(grams(a) & grams(b)) / len(grams(a) | grams(b)) > 0.95 for a, b in zip(made[::2], made[1::2]))
+    assert any((fingerprint(a, 5) ^ fingerprint(b, 5)).bit_count() > s.WIDE_RADIUS for a, b in zip(made[::2], made[1::2]))
+    assert {r["doc_id"] for r in s.drop_near_duplicates(docs_of(made)).select("doc_id").collect()} == set(range(0, 40, 2))
