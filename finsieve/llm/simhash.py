@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups, over_texts, stored
@@ -253,28 +253,39 @@ def sketch(text: str | None, k: int) -> tuple[int, list[int], bytes]:
     return signed(simhash([hashes])), band_keys(hashes), np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
 
 
+def text_digest(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, shard_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, component) of documents with near duplicates: Jaccard similarity of k-word shingles of at least `similarity`.
+    """(node, digest, component, gone) of documents with near duplicates: Jaccard similarity of k-word shingles of at least `similarity`.
 
-    A null text counts as empty; texts without words are alike. Rows without an id take no part; of
-    rows that repeat an id, one stands for it. An empty table gives no rows.
+    A null text counts as empty; texts without words are alike. A row is its id and its text's digest,
+    so rows that repeat an id with other texts are compared too: `digest` tells them apart, `gone` is
+    false for the first of a component, by id and digest. Rows without an id are compared among
+    themselves, with a null node and component. An empty table gives no rows.
 
     At such a similarity fingerprints differ in too many bits for keys of equal bits, so buckets are
     made of equal smallest shingle hashes instead; in them, BK-trees over the fingerprints give the
     pairs, which the sets of shingles then confirm. Only documents that share a bucket send their sets.
     """
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    made = stored(over_texts(slim, ["node"], "text", "fp long, bands array<long>, grams binary", lambda texts: [sketch(t, k) for t in texts]).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    one = made.groupBy("node").agg(F.min("row").alias("row"))
-    keyed = made.select("row", F.posexplode("bands").alias("table", "key"), "node", "fp").join(one.select("row"), "row", "left_semi")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    made = stored(over_texts(slim, ["id", "digest"], "text", "fp long, bands array<long>, grams binary", lambda texts: [sketch(t, k) for t in texts]).withColumn("node", F.monotonically_increasing_id()), "sketches")
+    one = made.groupBy("id", "digest").agg(F.min("node").alias("node"))
+    keys = made.select("id", F.posexplode("bands").alias("table", "key"), "node", "fp")
+    keyed = keys.select(F.when(F.col("id").isNull(), F.col("table") + BANDS).otherwise(F.col("table")).alias("table"), "key", "node", "fp").join(one.select("node"), "node", "left_semi")
     rows = stored(sharded(keyed, shard_rows), "sketch-shards")
-    return components(link_rows(rows.join(made.select("row", "grams"), "row").drop("row"), radius, similarity))
+    found = components(link_rows(rows.join(made.select("node", "grams"), "node"), radius, similarity))
+    linked = stored(found.join(made.select("node", "id", "digest"), "node"), "sketch-components")
+    firsts = stored(linked.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first")), "sketch-firsts")
+    return linked.join(firsts, "component").select(F.col("id").alias("node"), "digest", F.col("first.id").alias("component"), (~F.struct("id", "digest").eqNullSafe(F.col("first"))).alias("gone"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that are near duplicates of one with a smaller id, of each group; all columns kept.
 
-    Rows with a null id stay; an empty table gives no rows.
+    Of rows that repeat an id each is judged by its own text, and so are rows with a null id, but
+    only among themselves; rows of one id and text stay or go together. An empty table gives no rows.
     """
-    gone = near_duplicates(docs, k, similarity, id_col=id_col, text_col=text_col).where("node <> component").select(F.col("node").alias("__node"))
-    return docs.join(gone, F.col(id_col) == F.col("__node"), "left_anti")
+    gone = near_duplicates(docs, k, similarity, id_col=id_col, text_col=text_col).where("gone").select(F.col("node").alias("__node"), F.col("digest").alias("__digest"))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__node")) & (text_digest(text_col) == F.col("__digest")), "left_anti")

@@ -166,3 +166,12 @@ def test_uneven_repeats_do_not_hide_near_duplicates(docs_of):
     assert all(len(grams(a) & grams(b)) / len(grams(a) | grams(b)) > 0.95 for a, b in zip(made[::2], made[1::2]))
     assert any((fingerprint(a, 5) ^ fingerprint(b, 5)).bit_count() > s.WIDE_RADIUS for a, b in zip(made[::2], made[1::2]))
     assert {r["doc_id"] for r in s.drop_near_duplicates(docs_of(made)).select("doc_id").collect()} == set(range(0, 40, 2))
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_texts(docs_of):
+    draw = random.Random(12)
+    one, two, three, four = (" ".join("".join(draw.choice("abcdefghij") for _ in range(7)) for _ in range(80)) for _ in range(4))
+    made = [(1, one), (2, one + " end"), (2, two), (3, two + " end"), (4, three), (4, three + " end"), (None, four), (None, four + " end"), (None, one + " other")]
+    kept = [(r["doc_id"], r["text"]) for r in s.drop_near_duplicates(docs_of([t for _, t in made], ids=[i for i, _ in made])).collect()]
+    assert {(1, one), (2, two), (None, one + " other")} < set(kept) and len(kept) == 5
+    assert sum(i == 4 for i, _ in kept) == 1 and sum(i is None and t.startswith(four) for i, t in kept) == 1
