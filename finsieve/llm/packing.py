@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -78,10 +79,20 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.special = {c: np.array([i], "<u4") for c, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def with_special(self, text: str) -> np.ndarray:
+        """Ids as the library gives them at its defaults: special tokens that stand in the text are one id each, what is between them is encoded by itself."""
+        if self.cut is None or not self.cut.search(text):
+            return self.ids(text)
+        return np.concatenate([self.special[part] if part in self.special else self.ids(part) for part in self.cut.split(text)])
+
     def ids(self, text: str) -> np.ndarray:
+        """Ids of a text in which special tokens are words like others."""
         chunks = text.encode().lower().decode().replace("\n", " ").split(" ")
         known = self.known
         missing = [c for c in set(chunks) if c not in known]
@@ -131,7 +142,7 @@ def words(path: str) -> Words:
 
 def pieces_of(text: str | None, path: str, capacity: int, separator: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, CRC-32 of the ids) of a document's pieces."""
-    ids = np.append(words(path).ids(text or ""), np.uint32(separator)).astype("<u4")
+    ids = np.append(words(path).with_special(text or ""), np.uint32(separator)).astype("<u4")
     return [(i, at, len(part := ids[at : at + capacity]), zlib.crc32(part.tobytes())) for i, at in enumerate(range(0, len(ids), capacity))]
 
 

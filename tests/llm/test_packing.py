@@ -114,3 +114,19 @@ def test_odd_rows(docs_of):
     rows = p.pack(docs_of(["a", "a", None], ids=[1, 1, None]), PATH).collect()
     assert sorted((str(r["doc_id"]), r["length"]) for r in rows) == [("1", 2), ("1", 2), ("None", 1)] and len({r["sequence_id"] for r in rows}) == 1
     assert p.pack(docs_of(["a"]).limit(0), PATH).count() == 0
+
+
+@pytest.fixture(scope="session")
+def defaults():
+    return Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["the", "É", "İ", "e", "\u0301", " ", "\n", ".", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext"]), max_size=20).map("".join))
+def test_special_tokens_are_the_librarys_at_its_defaults(defaults, text):
+    assert p.Words(PATH).with_special(text).tolist() == defaults.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_in_packed_texts(docs_of, defaults):
+    texts = {1: "see <|endoftext|> here", 2: "<|startoftext|>A b.<|endoftext|>", 3: "plain " * 100 + "<|endoftext|>" * 70}
+    whole(p.pack(docs_of(list(texts.values()), ids=list(texts)), PATH, capacity=64).collect(), texts, defaults, 64)
