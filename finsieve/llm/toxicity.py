@@ -153,14 +153,16 @@ def train_on(docs: DataFrame, labels: DataFrame, categories: dict[str, str], lab
     """Fit a chain on at most labelled_rows of the labelled rows; categories: name and SQL condition over labels.
 
     The sample is bounded, so it is broadcast, and only its features, not its texts, come to the driver.
+    Of documents that repeat an id, the smallest text stands for it, so one row an id comes at most.
     """
     wanted = [F.coalesce(F.expr(sql), F.lit(False)).alias(f"__y{i}") for i, sql in enumerate(categories.values())]
     rows = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *wanted).groupBy("__id").agg(*[F.max(f"__y{i}").alias(f"__y{i}") for i in range(len(wanted))])
     sample = rows.orderBy(F.xxhash64("__id"), "__id").limit(labelled_rows)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
     names = [f"__y{i}" for i in range(len(wanted))]
+    texts = texts.groupBy("__id").agg(F.min("__text").alias("__text"), *[F.first(n).alias(n) for n in names])
     made = over_texts(texts, ["__id", *names], "__text", "words array<int>", lambda ts: ((features(t).tolist(),) for t in ts)).toArrow()
-    made = made.sort_by([("__id", "ascending")]).slice(0, labelled_rows).combine_chunks()
+    made = made.sort_by([("__id", "ascending")]).combine_chunks()
     words = pa.concat_arrays(made["words"].chunks) if made.num_rows else pa.array([], pa.list_(pa.int32()))
     flat, bounds = words.values.to_numpy(), words.offsets.to_numpy()
     sets = [flat[a:b] for a, b in zip(bounds, bounds[1:])]

@@ -78,6 +78,15 @@ def test_bound_of_the_sample(spark, docs_of, monkeypatch):
     assert seen == [20]
 
 
+def test_repeated_ids_leave_the_sample_whole(spark, docs_of, monkeypatch):
+    seen = []
+    monkeypatch.setattr(t, "train", lambda sets, labels: seen.append((len(sets), sum(labels["low_quality"]))) or t.Chain((), 0))
+    table = spark.createDataFrame([(i, int(i == 0), 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    docs = docs_of([f"text {i}" for i in range(100)], ids=[0] * 80 + list(range(20)))
+    t.train_on(docs, table, t.CATEGORIES, labelled_rows=20)
+    assert seen == [(20, 19)]
+
+
 def test_whole_query(spark):
     """Labelled rows of the table; half of them are in the sample at this size, as the bound is above their number."""
     sf = "/root/testdata/sf0.01"
