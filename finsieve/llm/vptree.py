@@ -22,6 +22,8 @@ LEAF = 256
 SHARD_ROWS, BLOCK_ROWS = 8192, 2048
 #: Distinct vectors kept beyond k, so that sums in another order can't cost a place.
 SLACK = 8
+#: Part of the squared distances within which scores may tie, and queries with ties that are compared with a whole shard at a time.
+TIED, TIED_ROWS = 1e-12, 256
 
 
 class VpTree:
@@ -93,7 +95,8 @@ def summed(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def shard_best(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, q_rows: np.ndarray, k: int, factor: float, largest: float, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, ...]]:
     """(query's place, ids, scores) of each query's k best of a shard; of equal vectors those of the smallest ids.
 
-    Equal vectors are one row of the tree. A query's own row isn't counted.
+    Equal vectors are one row of the tree. A query's own row isn't counted. Where the last that the
+    tree kept ties with the k-th, others may have been left out that tie too: all are compared then.
     """
     order = np.lexsort((rows, ids))
     x, ids, rows = x[order], ids[order], rows[order]
@@ -104,7 +107,13 @@ def shard_best(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray,
     more = np.sqrt(np.maximum(largest**2 - (distinct * distinct).sum(axis=1), 0))
     tree = VpTree(np.column_stack([distinct, more]), leaf)
     n = min(k + SLACK, len(distinct))
-    _, found = tree.search(np.column_stack([q, np.zeros(len(q))]), n, factor, largest**2)
+    best, places = tree.search(np.column_stack([q, np.zeros(len(q))]), n, factor, largest**2)
+    found, least = list(places), best[:, min(k, n - 1)] - TIED * tree.offset
+    tied = np.flatnonzero(best[:, -1] >= least) if n < len(distinct) else np.zeros(0, int)
+    for at in range(0, len(tied), TIED_ROWS):
+        some = tied[at : at + TIED_ROWS]
+        for i, products in zip(some, q[some] @ distinct.T):
+            found[i] = np.flatnonzero(products >= least[i])
     for i in range(len(q)):
         own = np.concatenate([members[starts[d] : min(starts[d + 1], starts[d] + k + 1)] for d in found[i] if d >= 0])
         own = own[rows[own] != q_rows[i]]

@@ -72,3 +72,17 @@ def test_larger_factors_leave_out_more():
         best, _ = tree.search(q, 10, factor, largest**2)
         recalls.append(np.isclose(-best, exact).mean())
     assert recalls[0] == 1 and recalls[0] >= recalls[1] >= recalls[2] and scans[0] > scans[1] > scans[2] and scans[0] < 50 * 3000
+
+
+def test_ties_at_the_border_stand_by_smaller_id():
+    """Many distinct vectors score the same: one-hot rows and rows of few values."""
+    draw = np.random.RandomState(1)
+    eye = np.eye(300)
+    for x in (eye[draw.permutation(300)], draw.randint(-1, 2, (900, 12)).astype(float)):
+        x = x[(x != 0).any(axis=1)]
+        ids, rows = draw.permutation(len(x)), np.arange(len(x))
+        q, asked = x[:40], rows[:40]
+        largest = np.linalg.norm(x, axis=1).max() * (1 + 1e-12)
+        for i, near, scores in v.shard_best(x, ids, rows, q, asked, 20, 1.0, largest, leaf=16):
+            want = sorted((-float(q[i] @ x[j]), ids[j]) for j in rows if j != asked[i])[:20]
+            assert [(-s, j) for s, j in zip(scores, near)] == want
