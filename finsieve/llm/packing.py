@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import held, over_texts, stored
+from .common import held, stored
 
 SEPARATOR = 0
 CAPACITY = 2048
@@ -21,7 +23,12 @@ OPEN_BINS = 4096
 WINDOW = 5000
 #: Documents that one packer takes, as expected by hashing.
 SHARD_ROWS = 200_000
-REMEMBERED = 700_000
+#: Chunks of a generation of memory, of which there are two.
+REMEMBERED = 1 << 18
+#: Bytes of text that are cut into chunks at a time.
+BATCH_BYTES = 16 << 20
+#: A full stop or comma between an ASCII letter and a space, for RE2.
+ENDED = r"([a-z])([.,]) "
 
 
 class BestFit:
@@ -68,8 +75,10 @@ class BestFit:
 class Words:
     """Ids of texts of a tokenizer that drops white space, chunk by chunk between spaces.
 
-    Encoding never crosses white space there, so each chunk is encoded by the library once and its
-    ids are kept. A-Z are lower-cased first, as the tokenizer itself would.
+    Encoding never crosses white space there, nor the border between a letter and a full stop or
+    comma, so a batch of texts is cut into chunks at both and made a dictionary of distinct chunks by
+    Arrow; the library encodes the distinct ones that aren't known yet, and ids are gathered by
+    places. A-Z are lower-cased first, as the tokenizer itself would.
     """
 
     def __init__(self, path: str):
@@ -83,7 +92,8 @@ class Words:
         self.special = {c: np.array([i], "<u4") for c, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def with_special(self, text: str) -> np.ndarray:
         """Ids as the library gives them at its defaults: special tokens that stand in the text are one id each, what is between them is encoded by itself."""
@@ -93,37 +103,60 @@ class Words:
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a text in which special tokens are words like others."""
-        chunks = text.encode().lower().decode().replace("\n", " ").split(" ")
-        known = self.known
-        missing = [c for c in set(chunks) if c not in known]
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                missing = list(set(chunks) - {""})
-            self._learn(missing)
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
+        return self.of_batch(pa.array([text]))[0]
+
+    def of_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin (and the last one's end)."""
+        spaced = pc.replace_substring_regex(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), ENDED, r"\1 \2 ")
+        chunks = pc.split_pattern(spaced, " ")
+        cut = chunks.flatten().dictionary_encode()
+        parts = self._encoded(cut.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool, places = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(lengths) - lengths
+        which = cut.indices.to_numpy()
+        n_ids = lengths[which]
+        ends = np.concatenate([[0], np.cumsum(n_ids)])
+        ids = pool[np.repeat(places[which] - ends[:-1], n_ids) + np.arange(ends[-1])]
+        bounds = chunks.offsets.to_numpy()
+        return ids, ends[bounds - bounds[0]]
+
+    def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text as the library gives them at its defaults; a null is empty."""
+        texts = pc.fill_null(texts, "")
+        odd: dict[int, np.ndarray] = {}
+        for token in self.special:
+            for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+                odd[i] = odd[i] if i in odd else self.with_special(texts[i].as_py())
+        ids, at = self.of_batch(texts)
+        return (odd[i] if i in odd else ids[at[i] : at[i + 1]] for i in range(len(texts)))
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of the distinct chunks, out of two generations of memory: the younger one becomes the older when it is full, so that frequent chunks stay."""
+        if len(self.known) >= REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        parts = list(map(known.get, chunks))
+        gaps = [i for i, part in enumerate(parts) if part is None]
+        fresh = []
+        for i in gaps:
+            if (made := older.get(chunk := chunks[i])) is None:
+                fresh.append(chunk)
+            else:
+                known[chunk] = made
+        self._learn(fresh)
+        for i in gaps:
+            parts[i] = known[chunks[i]]
+        return parts
 
     def _learn(self, chunks: list[str]) -> None:
-        """A final full stop or comma after letters is a piece of its own, so only the letters are encoded.
-
-        (Not so behind letters that lower-casing turns into a letter and a mark, such as U+0130.)
-        """
-        known = self.known
-        ended = [c for c in chunks if c[-1] in ".," and c[:-1].isalpha() and c[-2] < "\u0130"]
-        stems = {c[:-1] for c in ended}
-        if ended:
-            stems |= {".", ","}
-        fresh = [c for c in stems.union(chunks).difference(ended) if c not in known]
-        alone = [c for c in fresh if not c.isalpha()]
-        letters = [c for c in fresh if c.isalpha()]
+        alone, letters = [], []
+        for chunk in chunks:
+            (letters if chunk.isalpha() else alone).append(chunk)
         for at in range(0, len(letters), 1024):
             alone += self._learn_together(letters[at : at + 1024])
         if alone:
             for chunk, made in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(made.ids, "<u4").tobytes()
-        for chunk in ended:
-            known[chunk] = known[chunk[:-1]] + known[chunk[-1]]
+                self.known[chunk] = np.array(made.ids, "<u4").tobytes()
 
     def _learn_together(self, letters: list[str]) -> list[str]:
         """Encode chunks in one call; gives them back if any of them proves to be more than one piece."""
@@ -140,10 +173,46 @@ def words(path: str) -> Words:
     return held(("packing", path), lambda: Words(path))
 
 
-def pieces_of(text: str | None, path: str, capacity: int, separator: int) -> list[tuple[int, int, int, int]]:
-    """(piece, start, length, CRC-32 of the ids) of a document's pieces."""
-    ids = np.append(words(path).with_special(text or ""), np.uint32(separator)).astype("<u4")
-    return [(i, at, len(part := ids[at : at + capacity]), zlib.crc32(part.tobytes())) for i, at in enumerate(range(0, len(ids), capacity))]
+def pieces_of(ids: np.ndarray, capacity: int, separator: int) -> list[tuple[int, int, int, int]]:
+    """(piece, start, length, CRC-32 of the ids) of a document's pieces, the separator behind its ids."""
+    n, last = len(ids), np.array([separator], "<u4").tobytes()
+    out = []
+    for i, at in enumerate(range(0, n + 1, capacity)):
+        end = min(at + capacity, n + 1)
+        crc = zlib.crc32(ids[at:end].tobytes())
+        out.append((i, at, end - at, zlib.crc32(last, crc) if end > n else crc))
+    return out
+
+
+def bounded(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most BATCH_BYTES bytes of text, but for single texts that are longer."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+PIECES = "pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
+
+
+def cut_pieces(docs: DataFrame, path: str, capacity: int, separator: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, pieces) of each document, one pass over the scan."""
+    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    schema = StructType([source.schema.fields[0], *StructType.fromDDL(PIECES).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for part in bounded(batch, 1):
+                made = [pieces_of(ids, capacity, separator) for ids in words(path).batch(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), pa.array(made, arrow.field(1).type)], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, window: int = WINDOW, shard_rows: int = SHARD_ROWS, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +226,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
     A null text is empty and so the separator alone; a null id is carried; repeated rows are packed
     each; an empty table gives no rows; other columns are ignored.
     """
-    made = over_texts(docs, [id_col], text_col, "pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>", lambda texts: ((pieces_of(t, path, capacity, separator),) for t in texts))
+    made = cut_pieces(docs, path, capacity, separator, id_col, text_col)
     pieces = stored(made.select(F.col(id_col), F.inline("pieces")).withColumn("__row", F.monotonically_increasing_id()), "pieces")
     whole = pieces.where(F.col("length") == capacity).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("__row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)

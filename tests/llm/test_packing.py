@@ -130,3 +130,21 @@ def test_special_tokens_are_the_librarys_at_its_defaults(defaults, text):
 def test_special_tokens_in_packed_texts(docs_of, defaults):
     texts = {1: "see <|endoftext|> here", 2: "<|startoftext|>A b.<|endoftext|>", 3: "plain " * 100 + "<|endoftext|>" * 70}
     whole(p.pack(docs_of(list(texts.values()), ids=list(texts)), PATH, capacity=64).collect(), texts, defaults, 64)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["the", "Word.", "word, ", "İ.", "É, ", "x). ", "it's. ", "a.", " ", "\n", "é. ", "a.́ ", "<|endoftext|>", "7. ", "日, "]), max_size=12).map("".join)), max_size=12), st.integers(0, 4))
+def test_batches_are_the_librarys_text_by_text(defaults, texts, start):
+    import pyarrow as pa
+
+    got = list(p.Words(PATH).batch(pa.array(texts, pa.string()).slice(start)))
+    assert [g.tolist() for g in got] == [defaults.encode(t or "", add_special_tokens=False).ids for t in texts[start:]]
+
+
+def test_batches_are_bounded_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(p, "BATCH_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["abcd", "abcdef", None, "x" * 99, "", "abc"])], names=["id", "text"])
+    assert [part.column(0).to_pylist() for part in p.bounded(batch, 1)] == [[0, 1, 2], [3], [4, 5]]
+    assert list(p.bounded(batch.slice(0, 0), 1)) == []
