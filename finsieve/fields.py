@@ -116,19 +116,18 @@ class Catalog:
     spark: SparkSession
     fields: tuple[Field, ...] = field(default=FIELDS)
 
-    def field_rules(self) -> DataFrame:
-        rows = [(i, f.key, f.label, f.form, f.code, f.negative, f.required) for i, f in enumerate(self.fields)]
-        return self.spark.createDataFrame(rows, "field_no int, key string, label string, form string, code string, negative boolean, required boolean")
-
-    def orderings(self) -> DataFrame:
-        return self.spark.createDataFrame([(i, o.smaller, o.larger, o.message) for i, o in enumerate(ORDERINGS)], "rule_no int, smaller string, larger string, message string")
-
-    def identities(self) -> DataFrame:
-        rows = [(i, part, n.total, len(n.parts)) for i, n in enumerate(IDENTITIES) for part in n.parts]
-        return self.spark.createDataFrame(rows, "rule_no int, part string, total string, n_parts int")
-
-    def ratio_bounds(self) -> DataFrame:
-        return self.spark.createDataFrame([(i, r.part, r.base, r.least, r.most) for i, r in enumerate(RATIO_BOUNDS)], "rule_no int, part string, base string, least double, most double")
+    def sides(self) -> DataFrame:
+        """(test, rule, side, field, n_parts, least, most): a row for each field that stands on a side of a rule."""
+        rows = [("negative", f"negative:{f.key}", "left", f.key) for f in self.fields if not f.negative]
+        rows += [("ordering", f"ordering:{i}", side, key) for i, o in enumerate(ORDERINGS) for side, key in (("left", o.smaller), ("right", o.larger))]
+        rows += [("identity", f"identity:{i}", side, key) for i, n in enumerate(IDENTITIES) for side, key in (*(("left", part) for part in n.parts), ("right", n.total))]
+        rows += [("ratio", f"ratio:{i}", side, key) for i, r in enumerate(RATIO_BOUNDS) for side, key in (("left", r.part), ("right", r.base))]
+        rows += [("revenue", "revenue", side, key) for side, key in (("left", REVENUE), ("right", ASSETS))]
+        rows += [("required", "required", "left", f.key) for f in self.fields if f.required]
+        bounds = {f"ratio:{i}": (r.least, r.most) for i, r in enumerate(RATIO_BOUNDS)}
+        n_parts = {f"identity:{i}": len(n.parts) for i, n in enumerate(IDENTITIES)}
+        full = [(*row, n_parts.get(row[1]), *bounds.get(row[1], (None, None))) for row in rows]
+        return self.spark.createDataFrame(full, "test string, rule string, side string, field string, n_parts int, least double, most double")
 
 
 def check() -> None:

@@ -24,30 +24,43 @@ def unfenced(reply: Column) -> Column:
     return F.when(reply.startswith("```"), stripped(inside)).otherwise(reply)
 
 
+class LongInt(str):
+    """Digits of a whole number that is longer than Python reads into one."""
+
+
+def _int(digits: str) -> int | LongInt:
+    return int(digits) if len(digits) <= 4000 else LongInt(digits)
+
+
 def _value(x: object) -> tuple[str, str] | None:
     if x is None:
         return None
     if isinstance(x, bool):
         return "bool", str(x).lower()
-    if isinstance(x, int):
+    if isinstance(x, int | LongInt):
         return "int", str(x)
     if isinstance(x, float):
         return "float", "NaN" if math.isnan(x) else repr(x).replace("inf", "Infinity")
-    return "string", x if isinstance(x, str) else str(x)
+    if isinstance(x, str):
+        return "string", x
+    try:
+        return "string", str(x)
+    except (ValueError, RecursionError):
+        return "string", "…"
 
 
 def read_object(cleaned: str | None) -> dict | None:
     """A JSON object, by strict parsing of all of the text or else of what stands from its first { to its last }.
 
-    Other JSON is no object and counts as unreadable.
+    Other JSON is no object and counts as unreadable, as does what is nested too deeply to be read.
     """
     if cleaned is None:
         return None
     start, end = cleaned.find("{"), cleaned.rfind("}")
     for part in (cleaned, cleaned[start : end + 1] if 0 <= start < end else None):
         try:
-            found = json.loads(part) if part is not None else None
-        except json.JSONDecodeError:
+            found = json.loads(part, parse_int=_int) if part is not None else None
+        except (ValueError, RecursionError):
             continue
         return found if isinstance(found, dict) else None
     return None

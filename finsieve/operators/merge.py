@@ -26,19 +26,22 @@ def first_non_null(df: DataFrame, by: list[str], order: list[str], keys: tuple[s
     return df.groupBy(*by).agg(*[first_value(F.col(k), *order).alias(k) for k in keys])
 
 
-def prefix_state(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """pages with each key's first value up to the page, n_found and n_new (fields first found there)."""
+def prefix_state(pages: DataFrame, keys: tuple[str, ...] = KEYS, counts: tuple[str, ...] = (), kept: tuple[str, ...] = ()) -> DataFrame:
+    """pages with each key's first value up to the page, n_found and n_new (fields first found there).
+
+    `counts` are columns that are added up over the same window, `kept` columns go along as they are.
+    """
     upto = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
-    state = pages.select("doc_id", "page_no", *[F.first(k, ignorenulls=True).over(upto).alias(k) for k in keys])
+    state = pages.select("doc_id", "page_no", *kept, *[F.first(k, ignorenulls=True).over(upto).alias(k) for k in keys], *[F.sum(c).over(upto).alias(c) for c in counts])
     counted = state.withColumn("n_found", sum((F.col(k).isNotNull().cast("int") for k in keys), F.lit(0)))
     before = F.lag("n_found", 1, 0).over(Window.partitionBy("doc_id").orderBy("page_no"))
     return counted.withColumn("n_new", F.col("n_found") - before)
 
 
-def vlm_prefixes(pages: DataFrame, patience: int = PATIENCE) -> DataFrame:
+def vlm_prefixes(pages: DataFrame, patience: int = PATIENCE, counts: tuple[str, ...] = (), kept: tuple[str, ...] = ()) -> DataFrame:
     """Prefix states with idle (pages since a new field) and stop (all fields, or the required ones and patience at its end)."""
     upto = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
-    state = prefix_state(pages)
+    state = prefix_state(pages, counts=counts, kept=kept)
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no"))
     state = state.withColumn("__nth", nth)
     last_new = F.coalesce(F.max(F.when(F.col("n_new") > 0, F.col("__nth"))).over(upto), F.lit(0))
@@ -65,22 +68,13 @@ def stop_pages(prefixes: DataFrame) -> DataFrame:
     return prefixes.groupBy("doc_id").agg(F.coalesce(first, F.max("page_no")).alias("stop_page"), first.isNotNull().alias("stopped"))
 
 
-def at_stop(prefixes: DataFrame) -> DataFrame:
-    """Each document's state at its stop page, with stop_page and stopped.
+def at_stop(prefixes: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Each document's state at its stop page, with stop_page and stopped, and `more` columns of that page's state.
 
-    The page is found over the window that made the prefixes, so nothing is shuffled again.
+    The page is found over the window that made the prefixes, so nothing is shuffled again. A
+    document of one row without a page keeps that row.
     """
     whole = Window.partitionBy("doc_id")
     first = F.min(F.when(F.col("stop"), F.col("page_no"))).over(whole)
     marked = prefixes.withColumn("stopped", first.isNotNull()).withColumn("stop_page", F.coalesce(first, F.max("page_no").over(whole)))
-    return marked.where("page_no = stop_page").select("doc_id", *KEYS, "stop_page", "stopped")
-
-
-def call_counts(regions: DataFrame, stops: DataFrame) -> DataFrame:
-    """(doc_id, vlm_calls, vlm_failures, parse_failures) over regions of pages up to the stop; a call per region, however often it was tried."""
-    return (
-        regions.join(stops.select("doc_id", "stop_page"), "doc_id")
-        .where("page_no <= stop_page")
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("vlm_calls"), F.count_if(F.col("call_status") == "failed").alias("vlm_failures"), F.count_if((F.col("call_status") == "ok") & ~F.col("parse_ok")).alias("parse_failures"))
-    )
+    return marked.where("page_no <=> stop_page").select("doc_id", *KEYS, *more, "stop_page", "stopped")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fields import ASSETS, BY_KEY, FIELDS, IDENTITIES, IDENTITY_TOLERANCE, KEYS, MESSAGES, ORDERINGS, RATIO_BOUNDS, REQUIRED, REVENUE, REVENUE_LIMIT, Catalog
-from ..functions.numbers import coerce, grouped, percent
+from ..functions.numbers import WIDE, bounded, coerce, grouped, percent, shown
 
 
 @dataclass(frozen=True)
@@ -29,30 +29,44 @@ def _nan(kind: str, *numbers: Column) -> Column:
     return out
 
 
+def _larger(a: Column, b: Column) -> Column:
+    """Whether a is larger than b whatever their signs. Sizes are compared as negative numbers, of which every type has enough."""
+    return F.when(a < 0, a).otherwise(-a) < F.when(b < 0, b).otherwise(-b)
+
+
+def _added(kind: str, *numbers: Column) -> Column:
+    """A sum that can't overflow."""
+    return sum((n.cast("decimal(20,0)") if kind == "bigint" else n for n in numbers[1:]), numbers[0].cast("decimal(20,0)") if kind == "bigint" else numbers[0])
+
+
 def rules(values: dict[str, Column], raw: dict[str, Column] | None = None, kind: str = "bigint") -> list[Rule]:
-    """All rules in the order of their warnings. values: numbers by key; raw: structs (kind, txt) before coercion."""
+    """All rules in the order of their warnings. values: numbers by key, of one kind; raw: structs (kind, txt) before coercion.
+
+    No value of that kind makes a rule fail: sums are taken in a wider type, and a tenfold beyond
+    bigint is more than any bigint.
+    """
     out = []
     for k, r in (raw or {}).items():
-        shown = F.when(r["kind"] == "string", F.concat(F.lit("'"), r["txt"], F.lit("'"))).when(r["kind"] == "bool", F.initcap(r["txt"])).otherwise(r["txt"])
+        given = F.when(r["kind"] == "string", F.concat(F.lit("'"), r["txt"], F.lit("'"))).when(r["kind"] == "bool", F.initcap(r["txt"])).otherwise(r["txt"])
         head, tail = MESSAGES["unreadable"].format(label=BY_KEY[k].label, value="\0").split("\0")
-        out.append(Rule(f"unreadable:{k}", r["kind"].isNotNull() & (r["kind"] != "null") & values[k].isNull(), F.concat(F.lit(head), shown, F.lit(tail))))
+        out.append(Rule(f"unreadable:{k}", r["kind"].isNotNull() & (r["kind"] != "null") & values[k].isNull(), F.concat(F.lit(head), given, F.lit(tail))))
     for f in FIELDS:
         if not f.negative:
             v = values[f.key]
             head = MESSAGES["negative"].format(label=f.label, value="")
-            out.append(Rule(f"negative:{f.key}", (v < 0) | _nan(kind, v), F.concat(F.lit(head), v.cast("string"))))
+            out.append(Rule(f"negative:{f.key}", (v < 0) | _nan(kind, v), F.concat(F.lit(head), shown(v, kind))))
     for i, o in enumerate(ORDERINGS):
         a, b = values[o.smaller], values[o.larger]
-        out.append(Rule(f"ordering:{i}", (F.abs(a) > F.abs(b)) & ~_nan(kind, a, b), F.concat(F.lit(f"{o.message} ("), grouped(a), F.lit(" > "), grouped(b), F.lit(")"))))
+        out.append(Rule(f"ordering:{i}", _larger(a, b) & ~_nan(kind, a, b), F.concat(F.lit(f"{o.message} ("), grouped(a), F.lit(" > "), grouped(b), F.lit(")"))))
     for i, n in enumerate(IDENTITIES):
-        total, actual = values[n.total], sum((values[p] for p in n.parts[1:]), values[n.parts[0]])
-        diff = actual - total
-        out.append(Rule(f"identity:{i}", (F.abs(diff).cast("double") > F.abs(total).cast("double") * IDENTITY_TOLERANCE) & ~_nan(kind, diff), F.concat(F.lit(f"{n.message} — lệch "), grouped(diff), F.lit(" ("), grouped(actual), F.lit(" vs "), grouped(total), F.lit(")"))))
+        total, actual = values[n.total], _added(kind, *[values[p] for p in n.parts])
+        diff = _added(kind, actual, -total if kind == "double" else -_added(kind, total))
+        out.append(Rule(f"identity:{i}", (F.abs(diff.cast("double")) > F.abs(total.cast("double")) * IDENTITY_TOLERANCE) & ~_nan(kind, diff), F.concat(F.lit(f"{n.message} — lệch "), grouped(diff), F.lit(" ("), grouped(actual), F.lit(" vs "), grouped(total), F.lit(")"))))
     for i, r in enumerate(RATIO_BOUNDS):
-        ratio = F.try_divide(F.abs(values[r.part]).cast("double"), F.abs(values[r.base]).cast("double"))
+        ratio = F.try_divide(F.abs(values[r.part].cast("double")), F.abs(values[r.base].cast("double")))
         out.append(Rule(f"ratio:{i}", ~ratio.between(r.least, r.most), F.concat(F.lit(f"{r.message}: "), percent(ratio, 2), F.lit(f" (ngoài khoảng {r.least:.0%}–{r.most:.0%})"))))
     revenue, assets = values[REVENUE], values[ASSETS]
-    out.append(Rule("revenue", (assets > 0) & (revenue > assets * REVENUE_LIMIT) & ~_nan(kind, revenue, assets), F.lit(MESSAGES["revenue"])))
+    out.append(Rule("revenue", (assets > 0) & (revenue > (F.try_multiply(assets, F.lit(REVENUE_LIMIT)) if kind == "bigint" else assets * REVENUE_LIMIT)) & ~_nan(kind, revenue, assets), F.lit(MESSAGES["revenue"])))
     missing = F.array_compact(F.array(*[F.when(values[k].isNull(), F.lit(BY_KEY[k].label)) for k in REQUIRED]))
     out.append(Rule("required", F.size(missing) > 0, F.concat(F.lit(MESSAGES["required"]), F.array_join(missing, ", "))))
     return out
@@ -87,17 +101,18 @@ def present(raw: Column) -> Column:
     return F.when(raw["kind"].isNotNull() & (raw["kind"] != "null"), raw["txt"])
 
 
-def validate(df: DataFrame, raw_prefix: str | None = None, kind: str = "bigint") -> DataFrame:
+def validate(df: DataFrame, raw_prefix: str | None = None, kind: str | None = None) -> DataFrame:
     """df with rule_ids, warnings, n_warnings, acceptable.
 
-    Fields are number columns named by key, or, with raw_prefix, structs (kind, txt) of that prefix
-    from which the number columns are made. One projection: no shuffle, no UDF.
+    Fields are number columns named by key, bigint unless `kind` names another type, or, with
+    raw_prefix, structs (kind, txt) of that prefix from which the number columns are made, WIDE then,
+    as floats and long numbers may be among them. One projection: no shuffle, no UDF.
     """
-    raw = None
+    raw, kind = None, kind or ("bigint" if raw_prefix is None else WIDE)
     if raw_prefix is not None:
         raw = {k: F.col(raw_prefix + k) for k in KEYS}
         df = df.withColumns({k: coerce(raw[k], kind) for k in KEYS})
-    values = {k: F.col(k) for k in KEYS}
+    values = {k: bounded(F.col(k), kind) if raw is None else F.col(k) for k in KEYS}
     found = rules(values, raw, kind)
     there = required_present({k: present(raw[k]) for k in KEYS} if raw else values)
     df = df.withColumns({"rule_ids": rule_ids(found), "warnings": warnings(found)})
@@ -106,30 +121,32 @@ def validate(df: DataFrame, raw_prefix: str | None = None, kind: str = "bigint")
 
 def long_form(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, field, value) of all fields, nulls too."""
-    return df.select(id_col, *[F.col(k).cast("bigint").alias(k) for k in KEYS]).unpivot([id_col], list(KEYS), "field", "value")
+    return df.select(id_col, *[bounded(F.col(k).cast(WIDE), WIDE).alias(k) for k in KEYS]).unpivot([id_col], list(KEYS), "field", "value")
 
 
 def violations(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, rule) of each rule that a record of numbers breaks, by joins of its long form with rule tables.
+    """(id, rule) of each rule that a record of numbers breaks, by one join of its long form with the rules' sides and one aggregate.
 
-    A second way to the same ids as `rules` gives without raw values. Rule tables have the catalog's
-    size, a few rows whatever the input, and are broadcast.
+    A second way to the same ids as `rules` gives without raw values. A rule's left side is a sum and
+    its right side one value. The table of sides has the catalog's size, some thirty rows whatever the
+    input, and is broadcast. Ids are those of single records.
     """
-    catalog = Catalog(df.sparkSession)
-    long = long_form(df, id_col).where("value is not null")
-    negative = long.join(F.broadcast(catalog.field_rules()), F.col("field") == F.col("key")).where("value < 0 and not negative").select(id_col, F.concat(F.lit("negative:"), "field").alias("rule"))
-
-    def sided(table: DataFrame, columns: list[str]) -> DataFrame:
-        """Rule rows beside the values of the fields named by columns."""
-        both = long.join(F.broadcast(table), F.col("field").isin(*[F.col(c) for c in columns]))
-        return both.groupBy(id_col, "rule_no").agg(*[F.max(F.when(F.col("field") == F.col(c), F.col("value"))).alias(f"v{i}") for i, c in enumerate(columns)], *[F.first(c).alias(c) for c in table.columns if c not in columns and c != "rule_no"])
-
-    ordering = sided(catalog.orderings(), ["smaller", "larger"]).where("abs(v0) > abs(v1)").select(id_col, F.concat(F.lit("ordering:"), "rule_no").alias("rule"))
-    parts = long.join(F.broadcast(catalog.identities()), F.col("field") == F.col("part")).groupBy(id_col, "rule_no", "total", "n_parts").agg(F.sum("value").alias("actual"), F.count("*").alias("n")).where("n = n_parts")
-    totals = long.select(F.col(id_col).alias("__id"), F.col("field").alias("__field"), F.col("value").alias("expected"))
-    tolerance = F.abs("expected").cast("double") * IDENTITY_TOLERANCE
-    identity = parts.join(totals, (F.col(id_col) == F.col("__id")) & (F.col("total") == F.col("__field"))).where(F.abs(F.col("actual") - F.col("expected")).cast("double") > tolerance).select(id_col, F.concat(F.lit("identity:"), "rule_no").alias("rule"))
-    ratio = sided(catalog.ratio_bounds(), ["part", "base"]).where("v0 is not null and v1 <> 0").where("not (abs(double(v0)) / abs(double(v1)) between least and most)").select(id_col, F.concat(F.lit("ratio:"), "rule_no").alias("rule"))
-    revenue = long.groupBy(id_col).agg(*[F.max(F.when(F.col("field") == k, F.col("value"))).alias(n) for k, n in ((REVENUE, "revenue"), (ASSETS, "assets"))]).where(f"assets > 0 and revenue > assets * {REVENUE_LIMIT}").select(id_col, F.lit("revenue").alias("rule"))
-    lost = long_form(df, id_col).where(F.col("field").isin(*REQUIRED) & F.col("value").isNull()).select(id_col, F.lit("required").alias("rule")).distinct()
-    return negative.unionByName(ordering).unionByName(identity).unionByName(ratio).unionByName(revenue).unionByName(lost)
+    sides = F.broadcast(Catalog(df.sparkSession).sides())
+    left, right = (F.when(F.col("side") == s, F.col("value")) for s in ("left", "right"))
+    judged = long_form(df, id_col).join(sides, "field").groupBy(id_col, "rule").agg(
+        F.sum(left).alias("l"), F.count(left).alias("n_left"), F.max(right).alias("r"), F.count_if(F.col("value").isNull()).alias("n_null"),
+        *[F.first(c).alias(c) for c in ("test", "n_parts", "least", "most")],
+    )
+    l, r = F.col("l"), F.col("r")  # noqa: E741
+    tests = {
+        "negative": l < 0,
+        "ordering": F.abs(l) > F.abs(r),
+        "identity": (F.col("n_left") == F.col("n_parts")) & (F.abs((l - r).cast("double")) > F.abs(r.cast("double")) * IDENTITY_TOLERANCE),
+        "ratio": ~F.try_divide(F.abs(l.cast("double")), F.abs(r.cast("double"))).between(F.col("least"), F.col("most")),
+        "revenue": (r > 0) & (l.cast("double") > r.cast("double") * REVENUE_LIMIT),
+        "required": F.col("n_null") > 0,
+    }
+    broken = F.lit(False)
+    for test, fires in tests.items():
+        broken = broken | ((F.col("test") == test) & fires)
+    return judged.where(broken).select(id_col, "rule")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fields import BY_KEY, FIELDS, IDENTITIES, IDENTITY_TOLERANCE, KEYS, MARKERS, MESSAGES, ORDERINGS, RATIO_BOUNDS, REQUIRED, REVENUE_LIMIT
-from ..functions.numbers import NUMBER, coerce, parse_number
+from ..functions.numbers import NUMBER, WIDE, coerce, parse_number
 from ..functions.responses import parse, unfenced
 from ..operators import extract, layout, merge, router, validate
 from ..sources import io
@@ -76,15 +76,16 @@ def duck_number(x: str) -> str:
 
 def duck_rules(v: Callable[[str], str], unreadable: bool) -> list[tuple[str, str, str]]:
     """(rule, condition, message) over values named by v."""
-    comma = lambda x: f"format('{{:,}}', {x})"
+    plain = lambda x: f"rtrim(rtrim(CAST(CAST({x} AS DECIMAL(38,6)) AS VARCHAR), '0'), '.')"
+    comma = lambda x: f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || format('{{:,}}', CAST(trunc(abs(CAST({x} AS DECIMAL(38,6)))) AS HUGEINT)) || CASE WHEN contains({plain(x)}, '.') THEN '.' || split_part({plain(x)}, '.', 2) ELSE '' END"
     out = []
     if unreadable:
         for k in KEYS:
             head, tail = MESSAGES["unreadable"].format(label=BY_KEY[k].label, value="\0").split("\0")
-            out.append((f"unreadable:{k}", f"kind_{k} <> 'null' AND {v(k)} IS NULL", f"'{head}''' || txt_{k} || '''{tail}'"))
+            out.append((f"unreadable:{k}", f"kind_{k} <> 'null' AND {v(k)} IS NULL", f"'{head}' || CASE kind_{k} WHEN 'bool' THEN 'True' ELSE '''' || txt_{k} || '''' END || '{tail}'"))
     for f in FIELDS:
         if not f.negative:
-            out.append((f"negative:{f.key}", f"{v(f.key)} < 0", f"'{MESSAGES['negative'].format(label=f.label, value='')}' || CAST({v(f.key)} AS VARCHAR)"))
+            out.append((f"negative:{f.key}", f"{v(f.key)} < 0", f"'{MESSAGES['negative'].format(label=f.label, value='')}' || {plain(v(f.key))}"))
     for i, o in enumerate(ORDERINGS):
         a, b = v(o.smaller), v(o.larger)
         out.append((f"ordering:{i}", f"abs({a}) > abs({b})", f"'{o.message} (' || {comma(a)} || ' > ' || {comma(b)} || ')'"))
@@ -96,14 +97,14 @@ def duck_rules(v: Callable[[str], str], unreadable: bool) -> list[tuple[str, str
         ratio = f"(CAST(abs({a}) AS DOUBLE) / CAST(abs({b}) AS DOUBLE))"
         out.append((f"ratio:{i}", f"{b} <> 0 AND NOT ({ratio} BETWEEN {r.least} AND {r.most})", f"'{r.message}: ' || printf('%.2f%%', {ratio} * 100) || ' (ngoài khoảng {r.least:.0%}–{r.most:.0%})'"))
     revenue, assets = v("doanh_thu_thuan"), v("tong_tai_san")
-    out.append(("revenue", f"{assets} > 0 AND {revenue} > {assets} * {REVENUE_LIMIT}", f"'{MESSAGES['revenue']}'"))
+    out.append(("revenue", f"{assets} > 0 AND CAST({revenue} AS DOUBLE) > CAST({assets} AS DOUBLE) * {REVENUE_LIMIT}", f"'{MESSAGES['revenue']}'"))
     lost = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {v(k)} IS NULL THEN '{BY_KEY[k].label}' END" for k in REQUIRED) + "], lambda x: x IS NOT NULL), ', ')"
     out.append(("required", " OR ".join(f"{v(k)} IS NULL" for k in REQUIRED), f"'{MESSAGES['required']}' || {lost}"))
     return out
 
 
-def n_(k: str) -> str:
-    return f"n_{k}"
+def v_(k: str) -> str:
+    return f"v_{k}"
 
 
 def same(k: str) -> str:
@@ -119,7 +120,7 @@ def duck_joined(rules: list[tuple[str, str, str]], messages: bool = True) -> str
     return f"array_to_string({duck_list(rules, messages)}, chr(10))"
 
 
-ALL_RULES = duck_rules(n_, True)
+ALL_RULES = duck_rules(v_, True)
 CHECKED = f"ck AS (SELECT *, len({duck_list(ALL_RULES, False)}) AS n_warnings, {' AND '.join(f"kind_{k} <> 'null'" for k in REQUIRED)} AS there FROM st)"
 
 
@@ -161,7 +162,7 @@ OCR = f"""
     ocr AS (SELECT oc.*, os.stop_page, os.stopped FROM oc JOIN os ON oc.doc_id = os.doc_id AND oc.page_no = os.stop_page)"""
 VLM = f"""
     cl AS (SELECT *, regexp_extract(body, '(?s)\\{{.*\\}}', 0) AS js FROM rs),
-    vr AS (SELECT doc_id, page_no, region_no, call_status, coalesce(js <> '', FALSE) AS parse_ok, {', '.join(f"CASE WHEN js <> '' THEN CAST(json_extract_string(js, '$.{k}') AS BIGINT) END AS {k}" for k in KEYS)} FROM cl),
+    vr AS (SELECT doc_id, page_no, region_no, call_status, coalesce(js <> '', FALSE) AS parse_ok, {', '.join(f"CASE WHEN js <> '' THEN json_extract_string(js, '$.{k}') END AS {k}" for k in KEYS)} FROM cl),
     vp AS (SELECT doc_id, page_no, {', '.join(f'arg_min({k}, region_no) FILTER (WHERE {k} IS NOT NULL) AS {k}' for k in KEYS)} FROM vr GROUP BY doc_id, page_no),
     vx AS (SELECT doc_id, page_no, {', '.join(f'first_value({k} IGNORE NULLS) OVER w AS {k}' for k in KEYS)}, row_number() OVER w AS nth FROM vp WINDOW w AS {_UPTO}),
     vc AS (SELECT *, {_COUNT} AS n_found FROM vx),
@@ -187,9 +188,24 @@ def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", parse_number(shown).alias("parsed"))
 
 
-@query(f"WITH {ST} SELECT doc_id, {', '.join(f'n_{k} AS {k}' for k in KEYS)} FROM st")
+def coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements(spark, sf_dir).select("doc_id", *[coerce(F.col(f"raw_{k}"), WIDE).alias(k) for k in KEYS])
+
+
+def spelled(df: DataFrame) -> DataFrame:
+    """Numbers as text with six places, which all engines write alike."""
+    return df.withColumns({k: F.col(k).cast(WIDE).cast("string") for k in KEYS})
+
+
+@query(f"WITH {ST} SELECT doc_id, {', '.join(f'CAST(v_{k} AS VARCHAR) AS {k}' for k in KEYS)} FROM st")
 def coerce_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E3, D6."""
+    """E3, D6: whole numbers, long ones, floats, booleans and texts."""
+    return spelled(coerced(spark, sf_dir))
+
+
+@query(f"WITH {ST} SELECT doc_id, {', '.join(f'TRY_CAST(CASE WHEN v_{k} = trunc(v_{k}) THEN v_{k} END AS BIGINT) AS {k}' for k in KEYS)} FROM st")
+def coerce_whole_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 as bigint, which has no fractions and up to 19 digits."""
     return statements(spark, sf_dir).select("doc_id", *[coerce(F.col(f"raw_{k}")).alias(k) for k in KEYS])
 
 
@@ -222,8 +238,8 @@ def _rule_query(name: str, prefix: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = statements(spark, sf_dir)
         raw = {k: F.col(f"raw_{k}") for k in KEYS}
-        made = made.withColumns({k: coerce(raw[k]) for k in KEYS})
-        found = [r for r in validate.rules({k: F.col(k) for k in KEYS}, raw) if r.rule.split(":")[0] == prefix]
+        made = made.withColumns({k: coerce(raw[k], WIDE) for k in KEYS})
+        found = [r for r in validate.rules({k: F.col(k) for k in KEYS}, raw, WIDE) if r.rule.split(":")[0] == prefix]
         return made.select("doc_id", F.array_join(validate.rule_ids(found), "\n").alias("rules"), F.array_join(validate.warnings(found), "\n").alias("said"))
 
     run.__name__ = run.__qualname__ = name
@@ -246,14 +262,14 @@ def acceptable_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked(spark, sf_dir).select("doc_id", "acceptable", F.col("n_warnings").cast("bigint").alias("n_warnings"), F.array_join("warnings", "\n").alias("warnings_text"))
 
 
-NUMBER_RULES = duck_rules(n_, False)
+NUMBER_RULES = duck_rules(v_, False)
 BROKEN = f"br AS (SELECT doc_id, unnest({duck_list(NUMBER_RULES, False)}) AS rule FROM st)"
 
 
 @query(f"WITH {ST}, {BROKEN} SELECT doc_id, rule FROM br")
 def violations_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules by joins with rule tables."""
-    return validate.violations(coerce_values(spark, sf_dir))
+    return validate.violations(coerced(spark, sf_dir))
 
 
 @query(f"WITH {ST}, {BROKEN} SELECT rule, count(*) AS n FROM br GROUP BY rule")
@@ -267,12 +283,12 @@ def required_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements(spark, sf_dir).select("doc_id", validate.required_present({k: validate.present(F.col(f"raw_{k}")) for k in KEYS}).alias("present"))
 
 
-@query(f"""WITH {ST}, {CHECKED} SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE there AND n_warnings = 0) AS n_acceptable, CAST(sum(n_{CA}) AS BIGINT) AS current_assets
+@query(f"""WITH {ST}, {CHECKED} SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE there AND n_warnings = 0) AS n_acceptable, CAST(sum(v_{CA}) AS BIGINT) AS current_assets
     FROM ck JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)""")
 def statement_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: verdicts by language and source with subtotals."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
-    return checked(spark, sf_dir).join(docs, "doc_id").rollup("lang", "source").agg(F.count("*").alias("n"), F.count_if("acceptable").alias("n_acceptable"), F.sum(CA).alias("current_assets"))
+    return checked(spark, sf_dir).join(docs, "doc_id").rollup("lang", "source").agg(F.count("*").alias("n"), F.count_if("acceptable").alias("n_acceptable"), F.sum(CA).cast("bigint").alias("current_assets"))
 
 
 # Extraction
@@ -313,10 +329,10 @@ def extract_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields(extract.all_fields(pages(spark, sf_dir)), "page_no")
 
 
-@query(f"WITH {ST}, {PG}, dt AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM pg WHERE page_no BETWEEN 2 AND 4 GROUP BY doc_id) SELECT doc_id, {', '.join(f'{duck_field(k)} AS {k}' for k in KEYS)} FROM dt")
+@query(f"WITH {ST}, {PG}, dt AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM pg GROUP BY doc_id) SELECT doc_id, {', '.join(f'{duck_field(k)} AS {k}' for k in KEYS)} FROM dt")
 def extract_all_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E9 on whole documents (their pages of statements), where markers of all forms stand together (T6)."""
-    return fields(extract.all_fields(layout.document_text(pages(spark, sf_dir).where("page_no between 2 and 4"))))
+    """E9 on whole documents, where markers of all forms stand together (T6)."""
+    return fields(extract.all_fields(layout.document_text(pages(spark, sf_dir))))
 
 
 # Merge and early stop
@@ -333,7 +349,7 @@ def merge_prefix_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ST}, {RS}, {VLM} SELECT doc_id, stop_page, stopped FROM vs")
 def vlm_stop_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.stop_pages(merge.vlm_prefixes(router.vlm_pages(router.parsed_regions(responses(spark, sf_dir)))))
+    return merge.stop_pages(merge.vlm_prefixes(router.vlm_pages(router.parsed_regions(responses(spark, sf_dir)).repartition("doc_id"))))
 
 
 @query(f"WITH {TEXT}, {OCR} SELECT doc_id, stop_page, stopped FROM os")
@@ -353,16 +369,25 @@ def response_fence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses(spark, sf_dir).select("doc_id", "page_no", unfenced(F.col("body")).alias("cleaned"))
 
 
-@query(f"WITH {ST}, {RS}, {VLM} SELECT doc_id, page_no, call_status, parse_ok, {', '.join(KEYS)} FROM vr")
+@query(f"WITH {ST}, {RS}, {VLM} SELECT doc_id, page_no, call_status, parse_ok, {', '.join(f'CAST(TRY_CAST({k} AS DECIMAL(38,6)) AS VARCHAR) AS {k}' for k in KEYS)} FROM vr")
 def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = router.parsed_regions(responses(spark, sf_dir))
-    return regions.select("doc_id", "page_no", "call_status", "parse_ok", *[coerce(F.col(k)).alias(k) for k in KEYS])
+    return spelled(regions.select("doc_id", "page_no", "call_status", "parse_ok", *[coerce(F.col(k), WIDE).alias(k) for k in KEYS]))
+
+
+#: Replies that SQL engines read in different ways, with what strict reading makes of them: two
+#: objects, repeated keys, other JSON, numbers as text, with points and of very many digits, nesting too deep to be read.
+STRICT = (
+    ('{"tong_tai_san": 1} {"tong_tai_san": 2}', False, None, None), ('{"tong_tai_san": 1, "tong_tai_san": 2}', True, "int", "2"), ("[1]", False, None, None),
+    ('{"tong_tai_san": "1.500"}', True, "string", "1.500"), ('{"tong_tai_san": 1.5}', True, "float", "1.5"), ('{"tong_tai_san": NaN}', True, "float", "NaN"),
+    ('{"tong_tai_san": ' + "7" * 5000 + "}", True, "int", "7" * 5000), ('{"tong_tai_san": ' + "[" * 100_000 + "}", False, None, None),
+)
 
 
-@query()
+@query("SELECT doc_id, " + ", ".join(f"CASE doc_id % {len(STRICT)} " + " ".join(f"WHEN {i} THEN {f"'{x[at]}'" if isinstance(x[at], str) else x[at]}" for i, x in enumerate(STRICT) if x[at] is not None) + f" END AS {name}" for at, name in ((1, "parse_ok"), (2, "kind"), (3, "txt"))) + " FROM documents")
 def response_parse_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies that SQL engines read in different ways: two objects, repeated keys, other JSON, numbers as text and with points."""
-    odd = ['{"tong_tai_san": 1} {"tong_tai_san": 2}', '{"tong_tai_san": 1, "tong_tai_san": 2}', "[1]", '{"tong_tai_san": "1.500"}', '{"tong_tai_san": 1.5}', '{"tong_tai_san": NaN}']
+    """Replies that SQL engines read in different ways."""
+    odd = [x[0] for x in STRICT]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.get(F.array(*[F.lit(o) for o in odd]), (F.col("doc_id") % len(odd)).cast("int")).alias("body"))
     made = docs.select("doc_id", parse(F.col("body")).alias("p"))
     return made.select("doc_id", "p.parse_ok", F.try_element_at("p.fields", F.lit(TA))["kind"].alias("kind"), F.try_element_at("p.fields", F.lit(TA))["txt"].alias("txt"))
@@ -375,13 +400,17 @@ _ROUTE_COLUMNS = ["doc_id", *KEYS, "warnings", "final_acceptable", "vlm_needed",
 
 def _route(spark: SparkSession, sf_dir: str, ocr_first: bool) -> DataFrame:
     made = router.route(pages(spark, sf_dir), responses(spark, sf_dir), router.RouteConfig(ocr_first))
-    return made.withColumn("warnings", F.array_join("warnings", "\n"))
+    return spelled(made).withColumn("warnings", F.array_join("warnings", "\n"))
 
 
 _FINAL_RULES = duck_rules(same, False)
-_FINAL = f"SELECT doc_id, {', '.join(KEYS)}, {duck_joined(_FINAL_RULES)} AS warnings, len({duck_list(_FINAL_RULES, False)}) = 0 AS final_acceptable, vlm_needed, vlm_calls FROM f"
+_ROUTED_RULES = duck_rules(same, True)
+_FINAL = f"""
+    , g AS (SELECT * REPLACE ({', '.join(f'TRY_CAST({k} AS DECIMAL(38,6)) AS {k}' for k in KEYS)}), {', '.join(f"coalesce({k}, '') AS txt_{k}, CASE {k} WHEN 'true' THEN 'bool' ELSE CASE WHEN {k} IS NULL THEN 'null' ELSE 'number' END END AS kind_{k}" for k in KEYS)} FROM f)
+    SELECT doc_id, {', '.join(f'CAST({k} AS VARCHAR) AS {k}' for k in KEYS)}, {duck_joined(_ROUTED_RULES)} AS warnings,
+           {' AND '.join(f"kind_{k} <> 'null'" for k in REQUIRED)} AND len({duck_list(_ROUTED_RULES, False)}) = 0 AS final_acceptable, vlm_needed, vlm_calls FROM g"""
 ROUTED = f"""WITH {TEXT}, {OCR}, {RS}, {VLM},
-    f AS (SELECT ocr.doc_id, NOT ocr.stopped AS vlm_needed, {', '.join(f'CASE WHEN ocr.stopped THEN ocr.{k} ELSE coalesce(vlm.{k}, ocr.{k}) END AS {k}' for k in KEYS)},
+    f AS (SELECT ocr.doc_id, NOT ocr.stopped AS vlm_needed, {', '.join(f'CASE WHEN ocr.stopped THEN CAST(ocr.{k} AS VARCHAR) ELSE coalesce(vlm.{k}, CAST(ocr.{k} AS VARCHAR)) END AS {k}' for k in KEYS)},
                  CASE WHEN ocr.stopped THEN 0 ELSE vcalls.vlm_calls END AS vlm_calls, CASE WHEN ocr.stopped THEN ocr.stop_page ELSE greatest(ocr.stop_page, vlm.stop_page) END AS pages_processed
           FROM ocr JOIN vlm ON ocr.doc_id = vlm.doc_id JOIN vcalls ON ocr.doc_id = vcalls.doc_id)"""
 
@@ -522,10 +551,12 @@ def counter_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.increase(samples(spark, sf_dir), 3600).withColumn("ts", F.unix_timestamp("ts"))
 
 
-@query(f"""WITH {SM}, {_DELTA}, {_increased(6000)}, w AS (SELECT ts, max(increase) FILTER (WHERE metric = 'errors_7') / 6000 AS part, max(increase) FILTER (WHERE metric = 'documents_7') / 6000 AS whole FROM inc GROUP BY ts)
-    SELECT CAST(epoch(ts) AS BIGINT) AS ts, part / whole AS ratio FROM w WHERE whole > 0""")
+@query(f"""WITH {SM}, {_DELTA}, {_increased(6000)}, w AS (
+        SELECT split_part(metric, '_', 2) AS target, ts, max(increase) FILTER (WHERE metric LIKE 'errors%') / 6000 AS part, max(increase) FILTER (WHERE metric LIKE 'documents%') / 6000 AS whole FROM inc GROUP BY ALL)
+    SELECT target, CAST(epoch(ts) AS BIGINT) AS ts, part / whole AS ratio FROM w WHERE whole > 0""")
 def counter_rate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runlog.ratio_of_rates(samples(spark, sf_dir), "errors_7", "documents_7", 6000).withColumn("ts", F.unix_timestamp("ts"))
+    """P3, P4: of each target."""
+    return runlog.ratios_of_rates(samples(spark, sf_dir), "errors_", "documents_", 6000).withColumn("ts", F.unix_timestamp("ts"))
 
 
 @query(f"WITH {SM} SELECT metric AS target, arg_max(value, ts) AS up FROM sp GROUP BY metric")

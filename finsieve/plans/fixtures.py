@@ -1,7 +1,7 @@
 """Inputs derived from the tables, the same way in Spark SQL and in DuckDB.
 
 The tables hold no statements, so these are made of document ids by whole-number arithmetic, with a
-class of defect by doc_id % 14, and rendered as pages, boxes and model replies.
+class of defect by doc_id % 18, and rendered as pages, boxes and model replies.
 """
 
 from __future__ import annotations
@@ -26,6 +26,15 @@ DEFECTS = {
     GP: "CASE k WHEN 13 THEN -gp0 ELSE gp0 END",
     PAT: "CASE WHEN k = 11 THEN pbt0 + 1 WHEN k <> 8 THEN pat0 END",
 }
+#: Raw values that aren't whole numbers of 18 digits: key, class, kind, and the value's text, of which JSON and DuckDB make the same number.
+ODD = (
+    (REV, 14, "float", "CAST(rev0 AS STRING) || '.5'"),
+    (EQ, 15, "bool", "'true'"),
+    (INV, 16, "int", "CAST(ca0 AS STRING) || '123456789'"),
+    (GP, 17, "float", "'-' || CAST(gp0 AS STRING) || '.25'"),
+    (LI, 17, "int", "'9223372036854775807'"),
+)
+CLASSES = 18
 PAGES = {2: (CA, INV, NCA), 3: (TA, LI, EQ), 4: (REV, COGS, GP, PBT, PAT)}
 
 
@@ -43,7 +52,7 @@ SPARK, DUCK = Dialect(True), Dialect(False)
 
 
 def statements_sql(d: Dialect, docs: str = "documents") -> str:
-    """doc_id, k, and for each key b_ (sound), n_ (with defects, as number), kind_ and txt_ (as raw value)."""
+    """doc_id, k, and for each key b_ (sound), n_ (with defects, as printed on pages), kind_ and txt_ (as raw value), json_ (sound or odd, as in replies) and, for DuckDB, v_ (the raw value as a number)."""
     columns = ["doc_id", "k"]
     for key in KEYS:
         n = DEFECTS.get(key, BASE[key]).format(div=d.div)
@@ -52,14 +61,19 @@ def statements_sql(d: Dialect, docs: str = "documents") -> str:
             kind, txt = "CASE WHEN k = 7 THEN 'string' ELSE 'int' END", f"CASE WHEN k = 7 THEN {d.dotted('ca0')} ELSE {txt} END"
         if key == PAT:
             kind, txt = "CASE WHEN k = 8 THEN 'string' ELSE 'int' END", f"CASE WHEN k = 8 THEN 'abc' ELSE {txt} END"
-        columns += [f"{BASE[key]} AS b_{key}", f"{n} AS n_{key}", f"{kind} AS kind_{key}", f"{txt} AS txt_{key}"]
+        json = f"CAST({BASE[key]} AS STRING)"
+        for _, k, odd_kind, odd in (o for o in ODD if o[0] == key):
+            kind, txt, json = f"CASE WHEN k = {k} THEN '{odd_kind}' ELSE {kind} END", f"CASE WHEN k = {k} THEN {odd} ELSE {txt} END", f"CASE WHEN k = {k} THEN {odd} ELSE {json} END"
+        columns += [f"{BASE[key]} AS b_{key}", f"{n} AS n_{key}", f"{kind} AS kind_{key}", f"{txt} AS txt_{key}", f"{json} AS json_{key}"]
+        if not d.spark:
+            columns.append(f"CASE WHEN k = 7 AND '{key}' = '{CA}' THEN CAST(ca0 AS DECIMAL(38,6)) ELSE TRY_CAST({txt} AS DECIMAL(38,6)) END AS v_{key}")
     return f"""
         SELECT {', '.join(columns)} FROM (
         SELECT *, pbt0 * 4 {d.div} 5 AS pat0 FROM (
         SELECT *, ta0 - li0 AS eq0, rev0 - cogs0 AS gp0, (rev0 - cogs0) {d.div} 2 AS pbt0 FROM (
         SELECT *, ta0 {d.div} 3 AS li0, ca0 {d.div} 5 AS inv0, rev0 * 11 {d.div} 20 AS cogs0 FROM (
         SELECT *, ca0 + nca0 AS ta0, 10000000000 + doc_id * 900007 AS rev0 FROM (
-        SELECT doc_id, doc_id % 14 AS k, 20000000000 + doc_id * 1000003 AS ca0, 15000000000 + doc_id * 700001 AS nca0
+        SELECT doc_id, doc_id % {CLASSES} AS k, 20000000000 + doc_id * 1000003 AS ca0, 15000000000 + doc_id * 700001 AS nca0
         FROM {docs}) t1) t2) t3) t4) t5"""
 
 
@@ -93,9 +107,9 @@ def pages_sql(d: Dialect, docs: str = "documents") -> str:
 
 
 def responses_sql(d: Dialect, docs: str = "documents") -> str:
-    """doc_id, page_no, region_no, call_status, body: sound values of the page, wrapped by (doc_id + page_no) % 6."""
+    """doc_id, page_no, region_no, call_status, body: sound or odd values of the page, wrapped by (doc_id + page_no) % 6."""
     def body(n: int) -> str:
-        fields = [f"""'"{k}": ' || {f"CAST(b_{k} AS STRING)" if k in PAGES.get(n, ()) else "'null'"}""" for k in KEYS]
+        fields = [f"""'"{k}": ' || {f"json_{k}" if k in PAGES.get(n, ()) else "'null'"}""" for k in KEYS]
         return "'{' || " + " || ', ' || ".join(fields) + " || '}'"
 
     cases = " ".join(f"WHEN {n} THEN {body(n)}" for n in PAGES)

@@ -142,12 +142,23 @@ def rate(samples: DataFrame, seconds: int) -> DataFrame:
     return increase(samples, seconds).withColumn("rate", F.col("increase") / seconds).drop("increase")
 
 
-def ratio_of_rates(samples: DataFrame, part: str, whole: str, seconds: int, above: float | None = 0.0) -> DataFrame:
-    """(ts, ratio) of two series' rates at equal times; only where the whole's rate is over `above`, so no traffic gives no row."""
-    both = rate(samples.where(F.col("metric").isin(part, whole)), seconds).groupBy("ts").agg(*[F.max(F.when(F.col("metric") == m, F.col("rate"))).alias(n) for m, n in ((part, "part"), (whole, "whole"))])
+def ratios_of_rates(samples: DataFrame, part: str, whole: str, seconds: int, above: float | None = 0.0) -> DataFrame:
+    """(target, ts, ratio): rates of the series part + target over those of whole + target, at equal times of each target.
+
+    Only where the whole's rate is over `above`, so no traffic gives no row.
+    """
+    head = F.when(F.col("metric").startswith(part), F.lit(part)).when(F.col("metric").startswith(whole), F.lit(whole))
+    rates = rate(samples.where(head.isNotNull()), seconds).withColumn("head", head)
+    both = rates.groupBy(F.expr("substring(metric, length(head) + 1)").alias("target"), "ts").agg(*[F.max(F.when(F.col("head") == h, F.col("rate"))).alias(n) for h, n in ((part, "part"), (whole, "whole"))])
     if above is not None:
         both = both.where(F.col("whole") > above)
-    return both.select("ts", F.try_divide("part", "whole").alias("ratio"))
+    return both.select("target", "ts", F.try_divide("part", "whole").alias("ratio"))
+
+
+def ratio_of_rates(samples: DataFrame, part: str, whole: str, seconds: int, above: float | None = 0.0) -> DataFrame:
+    """(ts, ratio) of two series' rates at equal times."""
+    named = samples.where(F.col("metric").isin(part, whole)).withColumn("metric", F.when(F.col("metric") == part, "part:").otherwise("whole:"))
+    return ratios_of_rates(named, "part:", "whole:", seconds, above).select("ts", "ratio")
 
 
 def up(samples: DataFrame) -> DataFrame:

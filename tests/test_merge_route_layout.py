@@ -201,3 +201,39 @@ def test_live_chain_of_pages_boxes_and_texts(spark):
     regions = layout.exploded_regions(backends.detect_boxes(images, Live)).join(images.drop("path"), ["doc_id", "page_no"])
     got = {r["page_no"]: r["text"] for r in layout.page_text(backends.read_regions(regions, Live)).collect()}
     assert got == {1: "a.pdf#1\n0\na.pdf#1\n22", 2: "a.pdf#2\n0"}
+
+
+def test_no_reply_breaks_the_parser(spark):
+    long, deep = '{"tong_tai_san": ' + "7" * 5000 + "}", '{"tong_tai_san": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    assert read_object(deep) is None and read_object(f"x {deep} y") is None
+    r = spark.createDataFrame([(long,), (deep,), ("x " + long,)], "r string").select(parse(F.col("r")).alias("p")).collect()
+    assert [x["p"]["parse_ok"] for x in r] == [True, False, True] and tuple(r[0]["p"]["fields"]["tong_tai_san"]) == ("int", "7" * 5000)
+    made = routed(spark, ["x"] * 3, [("ok", long), ("ok", deep), ("ok", body(no_phai_tra=5))], False)
+    assert made["tong_tai_san"] is None and made["rule_ids"][0] == "unreadable:tong_tai_san" and made["no_phai_tra"] == 5 and made["parse_failures"] == 1
+
+
+def test_floats_and_long_numbers_are_routed(spark):  # T11
+    values = GOLDEN | {"doanh_thu_thuan": 47123.5, "no_phai_tra": 12345678901234567890, "von_chu_so_huu": True}
+    r = routed(spark, ["x"], [("ok", body(**values))], False)
+    assert str(r["doanh_thu_thuan"]) == "47123.500000" and int(r["no_phai_tra"]) == 12345678901234567890 and r["von_chu_so_huu"] is None
+    assert r["rule_ids"][0] == "unreadable:von_chu_so_huu" and "required" not in r["rule_ids"]
+    plain = routed(spark, ["x"], [("ok", body(**GOLDEN))], False)
+    assert plain["final_acceptable"] and {k: int(plain[k]) for k in KEYS} == GOLDEN
+
+
+def test_documents_without_replies_are_routed(spark):
+    pages = spark.createDataFrame([(1, 1, "x"), (2, 1, pages_text(GOLDEN)), (2, 2, "y")], "doc_id long, page_no int, text string")
+    for first, wanted in ((True, {1: (True, 1, 0, None), 2: (False, 1, 0, GOLDEN["tong_tai_san"])}), (False, {1: (True, None, 0, None), 2: (True, None, 0, None)})):
+        made = router.route(pages, spark.createDataFrame([], RESPONSES), router.RouteConfig(first)).collect()
+        assert {r["doc_id"]: (r["vlm_needed"], r["pages_processed"], r["vlm_calls"], r["tong_tai_san"]) for r in made} == wanted
+
+
+def test_replies_are_parsed_and_dealt_once(spark, sf_dir):
+    from finsieve.plans import catalogue
+
+    for name, exchanges in (("route_vlm_only", 3), ("vlm_call_counts", 1)):
+        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        plan = plan.split("== Initial Plan ==")[0]
+        assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange hashpartitioning") <= exchanges, plan
+    plan = catalogue.route_ocr_first(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "InMemoryTableScan" not in plan

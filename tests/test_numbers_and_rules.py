@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from finsieve import fields
 from finsieve.fields import KEYS
-from finsieve.functions.numbers import NUMBER, coerce, parse_number
+from finsieve.functions.numbers import NUMBER, WIDE, coerce, parse_number
 from finsieve.operators.validate import validate, violations
 
 GOLDEN = dict(zip(KEYS, (29403116984122, 5393002084291, 18372709942261, 47775826926383, 16666572149360, 31109254777023, 13217639635987, 7278764406353, 5938875229634, 2523887147085, 2049247209782)))
@@ -127,3 +127,35 @@ def test_number_grammar_has_no_borders():  # T3, T4
     assert re.search(NUMBER, "10.1234").group() == "10.123"
     assert re.search(NUMBER, "31.12.2026").group() == "12.202"
     assert re.search(NUMBER, "999") is None and re.search(NUMBER, "1,5") is None
+
+
+BIG = 2 * 10**18
+
+
+def test_no_number_breaks_a_rule_itself(spark):
+    top, least = 2**63 - 1, -(2**63)
+    df = spark.createDataFrame([(1, *[BIG] * 11), (2, *[top] * 11), (3, *[-top] * 11), (4, *[least] * 11), (5, *[top, least] * 5, top)], SCHEMA)
+    made = {r["doc_id"]: r for r in validate(df).collect()}
+    assert {"identity:0", "identity:1", "identity:2"} <= set(made[1]["rule_ids"]) & set(made[2]["rule_ids"]) and "revenue" not in made[2]["rule_ids"]
+    assert any("4,000,000,000,000,000,000" in w for w in made[1]["warnings"])
+    assert made[4]["rule_ids"] == ["required"]
+    wide = {(i, x) for i, r in made.items() for x in r["rule_ids"] if i <= 3}
+    assert {tuple(r) for r in violations(df.where("doc_id <= 3")).collect()} == wide and violations(df).count()
+
+
+@pytest.mark.parametrize(("kind", "txt", "number"), [("float", "47123.5", "47123.500000"), ("int", "12345678901234567890", "12345678901234567890.000000"), ("string", "99.999.999.999.999.999.999", "99999999999999999999.000000"), ("float", "1e+22", "10000000000000000000000.000000"), ("float", "NaN", None), ("float", "Infinity", None), ("int", "9" * 31, None), ("int", "9" * 5000, None), ("string", "1" * 5000, None), ("bool", "true", None)])
+def test_wide_numbers(spark, kind, txt, number):
+    df = spark.createDataFrame([((kind, txt),)], "r struct<kind:string,txt:string>")
+    assert one(df, coerce(F.col("r"), WIDE).cast("string").alias("n")) == number
+
+
+def test_floats_and_long_numbers_are_judged(spark):
+    changes = {"tong_tai_san": ("float", f"{GOLDEN['tong_tai_san']}.5"), "hang_ton_kho": ("float", "-1234.25"), "no_phai_tra": ("int", "9" * 25), "loi_nhuan_gop": ("int", "9" * 40)}
+    r = validate(raw_record(spark, **changes), "raw_").first()
+    assert r["rule_ids"] == ["unreadable:loi_nhuan_gop", "negative:hang_ton_kho", "ordering:3", "identity:1", "ratio:0"]
+    assert r["warnings"][1].endswith(" -1234.25") and "9,999,999,999,999,999,999,999,999 > 47,775,826,926,383.5" in r["warnings"][2]
+
+
+def test_rules_are_joined_once(spark):
+    plan = violations(record(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "NestedLoop" not in plan and plan.count("Exchange hashpartitioning") == 1

@@ -16,8 +16,8 @@ def test_query_gives_the_oracles_rows(spark, sf_dir, name):
 
 
 def test_strict_json_query(spark, sf_dir):
-    found = {r["doc_id"] % 6: (r["parse_ok"], r["kind"], r["txt"]) for r in catalogue.response_parse_strict(spark, sf_dir).collect()}
-    assert found == {0: (False, None, None), 1: (True, "int", "2"), 2: (False, None, None), 3: (True, "string", "1.500"), 4: (True, "float", "1.5"), 5: (True, "float", "NaN")}
+    found = {r["doc_id"] % len(catalogue.STRICT): (r["parse_ok"], r["kind"], r["txt"]) for r in catalogue.response_parse_strict(spark, sf_dir).collect()}
+    assert found == {i: x[1:] for i, x in enumerate(catalogue.STRICT)}
 
 
 def test_entry(spark):
