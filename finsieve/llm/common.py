@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,13 +16,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, in local mode alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="finsieve-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -32,11 +35,63 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: cuts the lineage, and lost executors lose none of it."""
-    path = shared_path(df.sparkSession, name)
+    return stored_at(df, shared_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that were stored and aren't needed further."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def quoted(name: str) -> str:
+    """A column's name for col(), whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def apart(df: DataFrame, name: str) -> str:
+    """A column's name like `name` that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows whose keys are broadcast at most; with some hundred bytes a key that is some 30 MB.
+BROADCAST_ROWS = 1 << 18
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs as a scan of files, whose rows have locators: as it is, or else a copy in the shared folder.
+
+    Columns keep their places; one of the name that Spark has for locators gets another.
+    """
+    scan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    clash = [c for c in docs.columns if c.lower() == "_metadata"]
+    if scan and not clash:
+        return docs
+    return stored(docs.select(*[F.col(quoted(c)).alias(apart(docs, c) if c in clash else c) for c in docs.columns]), "located")
+
+
+def locator() -> Column:
+    """File and number in it of a row of a located frame."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def without(source: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a located frame whose locators aren't in gone (at), which is broadcast if it has few rows."""
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
+    at = apart(source, "at")
+    kept = source.withColumn(at, locator()).alias("s").join(gone.alias("g"), F.col(f"s.{at}") == F.col("g.at"), "left_anti")
+    return kept.drop(at)
+
+
 _held: dict[object, object] = {}
 
 
@@ -71,7 +126,7 @@ def over_texts(
     `schema` is the DDL of the made columns. Columns other than carry and text_col are dropped, so
     extra columns with clashing names never meet the made ones.
     """
-    source = df.select(*[F.col(c) for c in carry], F.col(text_col).cast("string").alias("__text"))
+    source = df.select(*[F.col(quoted(c)) for c in carry], F.col(quoted(text_col)).cast("string").alias("__text"))
     made = source.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     kept = source.drop("__text").schema
     out_schema = type(kept)([*kept.fields, *made.fields])

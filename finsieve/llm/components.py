@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, shared_path, stored_at
 
 MOST_ROUNDS = 60
 
@@ -32,15 +32,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: long columns a and b, in any order and number; loops and nulls are left out. Minima are
     taken by partial aggregation and joined back, so that a node of very many links is split by AQE
-    and never held by one task. Each round's edges go to the shared folder; only two numbers of a
-    round come to the driver. An empty table gives no rows.
+    and never held by one task. Each round's edges go to the shared folder and the round's before
+    are deleted; only two numbers of a round come to the driver. An empty table gives no rows.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = stored(edges, "links"), None
+    spark, path, before = edges.sparkSession, shared_path(edges.sparkSession, "links"), None
+    edges = stored_at(edges, path)
     for _ in range(MOST_ROUNDS):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = now
-        edges = stored(_small_star(_large_star(edges).distinct()).distinct(), "links")
+        done, path = path, shared_path(spark, "links")
+        edges = stored_at(_small_star(_large_star(edges).distinct()).distinct(), path)
+        discard(spark, done)
     raise RuntimeError(f"no end after {MOST_ROUNDS} rounds")

@@ -2,8 +2,9 @@
 
 Slim rows (digest, stable identifier, content locator) run as a stream through keyed state on disk
 (RocksDB) that never expires: a digest's state is how many rows had it, and identifier and locator
-of the row that stays. Rows of one micro-batch are combined before the shuffle, so a text that a
-third of all rows hold is one row a task. Hits are then checked by full bytes.
+(file and row) of the row that stays. Rows of one micro-batch are combined before the shuffle, so a
+text that a third of all rows hold is one row a task. Hits, found by their locators, are then
+checked by full bytes; texts met once are neither compared nor shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_path, stored
+from .common import BROADCAST_ROWS, ascii_lower, discard, located, locator, quoted, shared_path, stored, stored_at, without
 
 #: Bytes of slim rows that a micro-batch takes.
 BATCH_BYTES = 256 << 20
@@ -57,31 +58,55 @@ def stream_state(spark: SparkSession, log_path: str, schema, checkpoint: str, ba
     """
     with settings(spark, STATE_CONF):
         rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(log_path)
-        state = rows.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "row", "locator")).alias("keep"))
+        state = rows.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "at")).alias("keep"))
         query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         return spark.read.format("statestore").load(checkpoint).select("key.digest", "value.*").toDF("digest", "group_size", "keep")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; of equal ones the row with the largest id
     stays (a null id is the smallest; of repeated rows with one id, one stays). A null text is
-    empty. An empty table gives no rows; other columns are ignored.
+    empty, one of any length is a digest but for the check of its bytes. An empty table gives no
+    rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
-    hashed = slim.select("id", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("text_sha256"), F.monotonically_increasing_id().alias("row"), F.input_file_name().alias("locator"))
-    log_path = shared_path(spark, "digest-log")
-    hashed.write.parquet(log_path)
-    log = spark.read.schema(hashed.schema).parquet(log_path)
-    state = stream_state(spark, log_path, hashed.schema, shared_path(spark, "digest-state"), batch_bytes)
-    found = log.join(state, "digest").select("id", "row", "text_sha256", "digest", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size")
-    clashing = stored(clashes(slim.select("id", "text", digest(F.col("text")).alias("digest"))), "digest-clashes")
+    found = judged(located(docs), id_col, text_col, digest, batch_bytes)
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column] | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(id, at, keep_id, group_size, kept, text_sha256) of the rows of a located frame; `at` is a row's locator."""
+    spark, hashed = docs.sparkSession, digest or sha256
+    texts = docs.select(F.col(quoted(id_col)).alias("id"), normalised(F.col(quoted(text_col))).alias("text"), locator().alias("at"))
+    slim = texts.select("id", hashed(F.col("text")).alias("digest"), "at", *([] if digest is None else [sha256(F.col("text")).alias("text_sha256")]))
+    log_path, checkpoint = shared_path(spark, "digest-log"), shared_path(spark, "digest-state")
+    log = stored_at(slim, log_path)
+    state = stream_state(spark, log_path, slim.schema, checkpoint, batch_bytes)
+    sha = F.col("digest" if digest is None else "text_sha256").alias("text_sha256")
+    found = log.join(state, "digest").select("id", "at", "digest", sha, "group_size", F.col("keep.id").alias("keep_id"), (F.col("at") == F.col("keep.at")).alias("kept"))
+    found = stored(found, "digest-groups")
+    discard(spark, log_path, checkpoint)
+    clashing = stored(clashes(hits(texts, found).select(hashed(F.col("text")).alias("digest"), "text")).select("digest"), "digest-clashes")
     if not clashing.isEmpty():
-        found = found.join(clashing.select("digest"), "digest", "left_anti").unionByName(resolved(log.join(clashing.select("digest"), "digest", "left_semi")))
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+        found = found.join(clashing, "digest", "left_anti").unionByName(resolved(texts.withColumn("digest", hashed(F.col("text"))).join(clashing, "digest", "left_semi")))
+    return found.select("id", "at", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def key(at: Column) -> Column:
+    return F.xxhash64(at["file"], at["row"])
+
+
+def hits(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts whose digest the state had met before, picked by their locators.
+
+    Keys are broadcast if there are few enough; else all texts count as hits, which only costs time.
+    """
+    keys = found.where("group_size > 1").select(key(F.col("at")).alias("key"))
+    if keys.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return texts
+    return texts.join(F.broadcast(keys), key(F.col("at")) == F.col("key"), "left_semi")
 
 
 def clashes(texts: DataFrame) -> DataFrame:
@@ -89,15 +114,19 @@ def clashes(texts: DataFrame) -> DataFrame:
     return texts.groupBy("digest", "text").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n_texts")).where("n_texts > 1")
 
 
-def resolved(log: DataFrame) -> DataFrame:
-    """Groups of rows under clashing digests by their texts' own SHA-256, in which such texts were told apart."""
-    groups = log.groupBy("digest", "text_sha256").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "row")).alias("keep"))
-    return log.join(groups, ["digest", "text_sha256"]).select("id", "row", "text_sha256", "digest", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size")
+def resolved(texts: DataFrame) -> DataFrame:
+    """Groups of rows under clashing digests by their full texts."""
+    groups = texts.groupBy("digest", "text").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "at")).alias("keep"))
+    joined = texts.join(groups, ["digest", "text"])
+    return joined.select("id", "at", "digest", sha256(F.col("text")).alias("text_sha256"), "group_size", F.col("keep.id").alias("keep_id"), (F.col("at") == F.col("keep.at")).alias("kept"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, all columns kept; of repeated rows with one id and text, one."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__sha", sha256(normalised(F.col(text_col))))
-    same = F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    """The documents that stay, all columns kept; of repeated rows with one id and text, one.
+
+    A null text is empty, and an empty table gives no rows. What goes is found again by its locator:
+    texts aren't shuffled where the locators are few enough to be broadcast.
+    """
+    source = located(docs)
+    gone = stored(judged(source, id_col, text_col).where("not kept").select("at"), "digest-dropped")
+    return without(source, gone).toDF(*docs.columns)

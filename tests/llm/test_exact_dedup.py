@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from finsieve.llm import common
 from finsieve.llm import exact_dedup as e
 from finsieve.llm.common import shared_path
 from finsieve.llm.queries import ORACLES, op4_exact_dedup
@@ -28,7 +29,7 @@ def brute(pairs):
 TEXTS = [None, "", "A", "a", "É", "é", "İ", "i̇", "ſ", "s", "S", "K", "k", "x" * 100_000, "X" * 100_000, "a ", "a\x00"]
 
 
-@pytest.mark.parametrize("digest", [e.sha256, lambda c: F.substring(F.sha2(c, 256), 1, 1), lambda c: F.lit("same")])
+@pytest.mark.parametrize("digest", [None, e.sha256, lambda c: F.substring(F.sha2(c, 256), 1, 1), lambda c: F.lit("same")])
 def test_equals_brute_force_even_if_digests_clash(docs_of, digest):
     draw = random.Random(2)
     texts = TEXTS + [draw.choice(TEXTS[2:13]) for _ in range(60)]
@@ -55,10 +56,10 @@ def test_filter_keeps_one_row_with_all_columns(docs_of):
 
 def test_state_is_carried_on_over_batches_and_restarts(spark):
     log, checkpoint = shared_path(spark, "t-log"), shared_path(spark, "t-state")
-    schema = "id long, digest string, text_sha256 string, row long, locator string"
+    schema = "id long, digest string, at struct<file:string,row:long>"
 
     def add(rows):
-        spark.createDataFrame([(i, d, d, r, "f") for i, d, r in rows], schema).coalesce(1).write.mode("append").parquet(log)
+        spark.createDataFrame([(i, d, ("f", r)) for i, d, r in rows], schema).coalesce(1).write.mode("append").parquet(log)
 
     fields = spark.createDataFrame([], schema).schema
     add([(1, "x", 0), (2, "y", 1)])
@@ -81,3 +82,53 @@ def test_settings_are_put_back(spark):
 def test_whole_query(spark, sf_dir):
     made = op4_exact_dedup(spark, sf_dir).toPandas()
     assert rows(made) == rows(oracle(ORACLES["op4_exact_dedup"], sf_dir))
+
+
+def test_more_hits_than_may_be_broadcast(docs_of, monkeypatch):
+    monkeypatch.setattr(e, "BROADCAST_ROWS", 2)
+    texts = ["a", "A", "b", "B", "b", "c", "a"]
+    docs = docs_of(texts)
+    got = e.exact_duplicates(docs, digest=lambda c: F.lit("same")).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == sorted(brute(list(enumerate(texts))))
+    assert sorted(r["doc_id"] for r in e.drop_exact_duplicates(docs).collect()) == [4, 5, 6]
+
+
+def test_only_texts_that_were_met_before_are_hits(spark, docs_of):
+    source = e.located(docs_of(["a", "b", "A", "c"], ids=[1, 2, 3, 4]))
+    found = e.judged(source, "doc_id", "text")
+    texts = source.select("doc_id", "text", e.locator().alias("at"))
+    assert sorted(r["doc_id"] for r in e.hits(texts, found).collect()) == [1, 3]
+    plan = e.hits(texts, found)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_columns_with_odd_names(spark):
+    docs = spark.createDataFrame([(1, "a", 7, 8, 9, 10), (2, "A", 1, 2, 3, 4)], "doc_id long, text string, `a.b` int, at int, `_metadata` int, `x``y` int")
+    kept = e.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "A", 1, 2, 3, 4)]
+    renamed = docs.withColumnsRenamed({"doc_id": "doc.id", "text": "the.text"})
+    assert e.exact_duplicates(renamed, "doc.id", "the.text").columns[0] == "doc.id"
+
+
+def test_files_of_one_run_are_deleted(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert e.drop_exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).count()
+    assert sorted({p.name.rsplit("-", 1)[0] for p in (tmp_path / "finsieve").iterdir()}) == ["digest-clashes", "digest-dropped", "digest-groups"]
+
+
+def test_clusters_need_a_shared_folder():
+    class Conf:
+        master = "spark://somewhere:7077"
+
+        def get(self, key, default):
+            return default
+
+        def isDefined(self):
+            return False
+
+    class Session:
+        conf = sparkContext = Conf()
+
+    Conf._jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Conf()})()})()
+    with pytest.raises(RuntimeError, match="share"):
+        common.shared_dir(Session())
