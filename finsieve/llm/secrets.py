@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_texts, stored
+from .common import BROADCAST_ROWS, apart, located, locator, over_texts, quoted, stored
 
 # The base kinds, in their order, with the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -27,7 +27,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 # The wide kinds, after the base kinds.
 WIDE = {
     "bearer": re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9._~+/-]{16,}=*)"),
-    "signed": re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
+    "signed": re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
     "userinfo": re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]{6,128})@"),
     "random": re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,})(?![A-Za-z0-9+/_-])"),
 }
@@ -47,17 +47,35 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(spans)
 
 
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as spans that neither overlap nor touch, by start."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
 def wide_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """The same of the wide kinds, where no base span and no span of an earlier wide kind overlaps."""
+    """The same of the wide kinds, where no base span and no span of an earlier wide kind overlaps.
+
+    Matches of a kind come by start and don't overlap, so each kind is one sweep along the taken places.
+    """
     out: list[tuple[int, int, int, str]] = []
+    places = union([(s, e) for s, _, e, _ in taken])
     for kind, pattern in WIDE.items():
+        at, found = 0, []
         for m in pattern.finditer(text):
             start, end, value = *m.span(1), m[1]
-            if kind == "random" and not looks_random(value):
-                continue
-            if all(end <= s or start >= e for s, _, e, _ in (*taken, *out)):
-                out.append((start, KINDS.index(kind), end, value))
-    return out
+            while at < len(places) and places[at][1] <= start:
+                at += 1
+            if (at == len(places) or places[at][0] >= end) and (kind != "random" or looks_random(value)):
+                found.append((start, KINDS.index(kind), end, value))
+        places = union(places + [(s, e) for s, _, e, _ in found])
+        out += found
+    return sorted(out)
 
 
 def looks_random(value: str) -> bool:
@@ -73,7 +91,7 @@ def digest(spans: list[tuple]) -> str:
 def scanned(texts: list[str | None]) -> Iterator[tuple]:
     for text in texts:
         base = base_spans(text or "")
-        spans = base + wide_spans(text or "", base)
+        spans = base + wide_spans(text or "", base)  # sorted later, with what the corpus knows of them
         yield hashlib.sha256((text or "").encode()).hexdigest(), digest(base), [(s, k, e, hashlib.sha256(f"{KINDS[k] if k else 'value'}\0{v}".encode()).hexdigest()) for s, k, e, v in spans]
 
 
@@ -83,11 +101,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An owner is what stands before the first slash of a repository. Only slim rows are shuffled:
     hashes are counted by owner before they are counted at all, so that a value which a third of all
     rows hold is one row a task; the join back on the hash is one that AQE splits where it is skewed.
-    A null text counts as empty. A null repository is one owner of its own. Repeated rows each give
-    a row. Spans that start together stand in the order of KINDS. An empty table gives no rows;
+    A null text counts as empty; a text of any length is scanned whole, in time that grows with its
+    length. A null repository is one owner of its own. Repeated rows each give a row. Spans that start together stand in the order of KINDS. An empty table gives no rows;
     other columns are ignored.
     """
-    slim = docs.select(F.col(id_col).alias("__id"), F.col(repository_col).cast("string").alias("__repository"), F.col(text_col).alias("__text"))
+    slim = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(repository_col)).cast("string").alias("__repository"), F.col(quoted(text_col)).alias("__text"))
     found = stored(over_texts(slim, ["__id", "__repository"], "__text", FOUND, scanned).withColumn("__row", F.monotonically_increasing_id()), "secrets-found")
     repository = F.coalesce(F.concat(F.lit("="), F.col("__repository")), F.lit(""))
     held = found.select("__row", "__id", "text_sha256", "base_sha256", F.explode("found").alias("span"), repository.alias("repository"))
@@ -146,17 +164,25 @@ def masked(text: str | None, live: list[tuple[int, int]] | None, mask: str = "[S
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
     """The documents, all columns kept, with live-looking credentials masked in their texts and copied examples left.
 
-    A row's spans are found by its id and its text's digest, so repeated ids do no harm. Other
-    columns stay as they are; a null text stays null; an empty table gives no rows.
+    A row's spans are found by its locator, so repeated ids do no harm, and are broadcast if they are
+    few enough: documents without any are neither shuffled nor sent to Python. Texts are scanned and
+    masked whole, whatever their length; other columns stay as they are; a null text stays null; an
+    empty table gives no rows.
     """
-    spans = find_secrets(docs.select(id_col, text_col, repository_col), id_col, text_col, repository_col, live_owners)
-    live = stored(spans.where("n_live > 0").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("live").alias("__live")).dropDuplicates(["__id", "__sha"]), "secrets-live")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__sha"))
+    source = located(docs)
+    at, text, lives = (apart(docs, c) for c in ("at", text_col, "live"))
+    spans = find_secrets(source.select(locator().alias("at"), F.col(quoted(text_col)).alias("text"), F.col(quoted(repository_col)).alias("repository")), "at", "text", "repository", live_owners)
+    live = stored(spans.where("n_live > 0").select(F.col("at").alias("__at"), F.col("live").alias(lives)), "secrets-live")
+    n_rows, n_spans = live.select(F.count("*"), F.coalesce(F.sum(F.size(lives)), F.lit(0))).first()
+    live = F.broadcast(live) if n_rows <= BROADCAST_ROWS and n_spans <= 4 * BROADCAST_ROWS else live
 
     @F.pandas_udf("string")
     def replaced(texts, lives):
         import pandas as pd
 
-        return pd.Series([masked(t, None if live is None else [(x["start"], x["end"]) for x in live]) for t, live in zip(texts, lives, strict=True)], dtype=object)
+        return pd.Series([None if live is None else masked(t, [(x["start"], x["end"]) for x in live]) for t, live in zip(texts, lives, strict=True)], dtype=object)
 
-    return docs.join(live, same, "left").withColumn(text_col, F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(replaced(text_col, "__live"))).select(*docs.columns)
+    joined = source.withColumn(at, locator()).join(live, F.col(at) == F.col("__at"), "left")
+    given = F.col(quoted(text_col))
+    done = joined.withColumn(text, F.when(F.col(lives).isNull(), given).otherwise(replaced(F.when(F.col(lives).isNotNull(), given), lives)))
+    return done.select(*[F.col(quoted(text if c == text_col else s)).alias(c) for s, c in zip(source.columns, docs.columns, strict=True)])

@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 from finsieve.llm import secrets as s
 from finsieve.llm.queries import op5_secret_scan
 
+from ..compare import oracle, rows
+
 
 def base(text):
     text = text or ""
@@ -81,3 +83,63 @@ def test_whole_query(spark, sf_dir):
         assert got[i]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[1] == n for x in spans) for n in range(3)]
         assert set(filter(None, told.split(","))) <= set(got[i]["spans"].split(","))
+
+
+def overlapping(text, base):
+    """Plain: every match against all spans before it."""
+    out = []
+    for kind, pattern in s.WIDE.items():
+        for m in pattern.finditer(text):
+            if (kind != "random" or s.looks_random(m[1])) and all(m.end(1) <= a or m.start(1) >= b for a, _, b, _ in (*base, *out)):
+                out.append((m.start(1), s.KINDS.index(kind), m.end(1), m[1]))
+    return sorted(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token=", "Bearer ", "bearer  ", "eyJhbGciOiJI.", "eyJzdWIiOiIx", ".SflKxwRJSM", RANDOM, RANDOM[::-1], "://user:", "hunter22", "@", " ", "\n", KEY, "0123456789abcdef01234567", "-", "é", "/", "abcDEF123"]), max_size=25).map("".join))
+def test_wide_spans_are_those_of_plain_comparison(text):
+    base = s.base_spans(text)
+    assert s.wide_spans(text, base) == overlapping(text, base)
+
+
+def test_time_grows_with_the_length():
+    import base64
+    import random
+    import time
+
+    draw = random.Random(4)
+    encoded = base64.b64encode(draw.randbytes(7_500_000)).decode()
+    for text in (encoded, re.sub("(.{64})", r"\1 ", encoded), "-eyJabcdefgh" * 800_000, "password" + " " * 5_000_000 + "token = abcdefgh"):
+        began = time.process_time()
+        list(s.scanned([text]))
+        assert time.process_time() - began < 20
+
+
+SQL = """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    k AS (SELECT * FROM (VALUES (0, 'assign', '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', '(?i)^(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?', 6),
+                                (1, 'access', 'AKIA[A-Z0-9]+', '^', 20), (2, 'hex', '[0-9a-f]+', '^', 24)) v(no, kind, pattern, head, least)),
+    m AS (SELECT doc_id, no, kind, head, least, unnest(CASE no WHEN 0 THEN regexp_extract_all(t, (SELECT pattern FROM k WHERE no = 0)) WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+') ELSE regexp_extract_all(t, '[0-9a-f]+') END) AS found,
+                 unnest(CASE no WHEN 0 THEN string_split_regex(t, (SELECT pattern FROM k WHERE no = 0)) WHEN 1 THEN string_split_regex(t, 'AKIA[A-Z0-9]+') ELSE string_split_regex(t, '[0-9a-f]+') END) AS before,
+                 generate_subscripts(CASE no WHEN 0 THEN string_split_regex(t, (SELECT pattern FROM k WHERE no = 0)) WHEN 1 THEN string_split_regex(t, 'AKIA[A-Z0-9]+') ELSE string_split_regex(t, '[0-9a-f]+') END, 1) AS i
+          FROM d, k),
+    p AS (SELECT *, CAST(sum(length(before) + coalesce(length(found), 0)) OVER (PARTITION BY doc_id, no ORDER BY i) AS BIGINT) AS stop FROM m),
+    f AS (SELECT doc_id, no, kind, stop - length(found) AS start, stop FROM p WHERE found IS NOT NULL AND length(regexp_replace(found, CASE no WHEN 0 THEN (SELECT head FROM k WHERE no = 0) ELSE '^' END, '')) >= least)
+    SELECT doc_id, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access, count(*) FILTER (WHERE no = 2) AS n_hex,
+           sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no), '')) AS base_sha256
+    FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id"""
+
+
+def test_base_columns_are_those_of_sql(spark, sf_dir):
+    made = op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").toPandas()
+    assert rows(made) == rows(oracle(SQL, sf_dir))
+
+
+def test_documents_without_live_spans_are_not_shuffled(docs_of):
+    docs = docs_of(["token=abcdefgh1", "clean", None], sources=["a", "b", "c"])
+    made = s.mask_secrets(docs)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    odd = docs.withColumnsRenamed({"text": "the.text", "lang": "live", "row": "at"})
+    got = s.mask_secrets(odd, text_col="the.text")
+    assert got.columns == odd.columns and sorted(str(r["the.text"]) for r in got.collect()) == ["None", "[SECRET]", "clean"]
