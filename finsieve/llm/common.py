@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Lower-casing A-Z only, for translate().
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -126,10 +127,10 @@ def over_texts(
     `schema` is the DDL of the made columns. Columns other than carry and text_col are dropped, so
     extra columns with clashing names never meet the made ones.
     """
-    source = df.select(*[F.col(quoted(c)) for c in carry], F.col(quoted(text_col)).cast("string").alias("__text"))
-    made = source.sparkSession.createDataFrame([], schema).schema if isinstance(schema, str) else schema
-    kept = source.drop("__text").schema
-    out_schema = type(kept)([*kept.fields, *made.fields])
+    kept = df.select(*[F.col(quoted(c)) for c in carry]).schema
+    source = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(carry)], F.col(quoted(text_col)).cast("string").alias("text"))
+    made = StructType.fromDDL(schema)
+    out_schema = StructType([*kept.fields, *made.fields])
     names, n = out_schema.names, len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

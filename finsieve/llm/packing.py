@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held, stored
+from .common import held, quoted, stored
 
 SEPARATOR = 0
 CAPACITY = 2048
@@ -26,7 +26,7 @@ SHARD_ROWS = 200_000
 #: Chunks of a generation of memory, of which there are two.
 REMEMBERED = 1 << 18
 #: Bytes of text that are cut into chunks at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: A full stop or comma between an ASCII letter and a space, for RE2.
 ENDED = r"([a-z])([.,]) "
 
@@ -200,8 +200,8 @@ PIECES = "pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, separator: int, id_col: str, text_col: str) -> DataFrame:
     """(id, pieces) of each document, one pass over the scan."""
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    schema = StructType([source.schema.fields[0], *StructType.fromDDL(PIECES).fields])
+    source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    schema = StructType([source.schema["id"], *StructType.fromDDL(PIECES).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -227,14 +227,14 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
     each; an empty table gives no rows; other columns are ignored.
     """
     made = cut_pieces(docs, path, capacity, separator, id_col, text_col)
-    pieces = stored(made.select(F.col(id_col), F.inline("pieces")).withColumn("__row", F.monotonically_increasing_id()), "pieces")
-    whole = pieces.where(F.col("length") == capacity).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("__row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    pieces = stored(made.select(F.col("id"), F.inline("pieces")).withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    whole = pieces.where(F.col("length") == capacity).select("id", "piece", "start", "length", "ids_crc32", (F.col("__row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
     n = rest.count()
     n_shards = max(1, -(-n // shard_rows))
     n_windows = max(1, -(-n // (n_shards * window)))
     shard = F.pmod(F.xxhash64("__row"), F.lit(n_shards)).cast("int")
-    kept = [id_col, "piece", "start", "length", "ids_crc32"]
+    kept = ["id", "piece", "start", "length", "ids_crc32"]
     dealt = rest.select(*kept, "__row", shard.alias("shard")).repartition(max(1, n_shards), "shard").sortWithinPartitions("shard", F.pmod(F.xxhash64("__row", F.lit(1)), F.lit(n_windows)), F.desc("length"), "__row")
     schema = whole.schema
 
@@ -251,4 +251,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
             arrays += [pa.array([p[i] for p in places], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
-    return whole.unionByName(dealt.mapInArrow(run, schema))
+    return whole.unionByName(dealt.mapInArrow(run, schema)).withColumnRenamed("id", id_col)
