@@ -1,8 +1,9 @@
-"""Commands over files: extract, route, metrics. `python -m finsieve.cli COMMAND INPUT OUTPUT`."""
+"""Commands over files: extract, ocr, vlm, route, route-files, check, metrics. `python -m finsieve.cli COMMAND INPUT OUTPUT`."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from .operators.layout import page_text, raw_dump
 from .operators.router import RouteConfig, route, vlm_branch
 from .operators.validate import validate
 from .sources import io
+from .sources.documents import route_documents
 from .streaming import runlog
 
 
@@ -48,6 +50,28 @@ def routed(spark: SparkSession, source: str, target: str, ocr_first: bool = Fals
         io.append_runs(spark.createDataFrame([run.row()], runlog.RUN), f"{target}_runs")
 
 
+def routed_files(spark: SparkSession, source: str, target: str, ocr_first: bool = False, backends: str | None = None) -> None:
+    """Document files of a folder through live backends and the router: a file <stem>_routed.json each in the folder target.
+
+    `backends` names a function, package.module:function, that checks its settings and gives the
+    Backends; it is called before any job.
+    """
+    module, _, function = (backends or "").partition(":")
+    if not function:
+        raise SystemExit("--backends package.module:function is wanted")
+    live, run = getattr(importlib.import_module(module), function)(), runlog.Run(source)
+    try:
+        with run.stage("route"):
+            made = route_documents(io.read_documents(spark, source), live, f"{target}_work", RouteConfig(ocr_first))
+            io.save_results(made.withColumn("name", io.stem(F.col("path"))).withColumn("warnings", F.col("api_warnings")), target)
+        run.status = "ok"
+    except BaseException:
+        run.status = "error"
+        raise
+    finally:
+        io.append_runs(spark.createDataFrame([run.row()], runlog.RUN), f"{target}_runs")
+
+
 def metrics(spark: SparkSession, source: str, target: str) -> None:
     """The exposition of a run log."""
     io.write_text(runlog.exposition(runlog.totals(io.read_runs(spark, source))), target)
@@ -58,7 +82,7 @@ def check(spark: SparkSession, source: str, target: str) -> None:
     io.write_results(validate(spark.read.parquet(source)), target, "routed")
 
 
-COMMANDS = {"extract": extract, "ocr": ocr, "vlm": vlm, "route": routed, "metrics": metrics, "check": check}
+COMMANDS = {"extract": extract, "ocr": ocr, "vlm": vlm, "route": routed, "route-files": routed_files, "metrics": metrics, "check": check}
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -66,10 +90,12 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("command", choices=COMMANDS)
     parser.add_argument("source")
     parser.add_argument("target")
-    parser.add_argument("--ocr-first", action="store_true")
+    parser.add_argument("--ocr-first", action="store_true", help="extract from text first, ask the model for what the gate rejects")
+    parser.add_argument("--backends", help="package.module:function that gives the live backends, for route-files")
     found = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("finsieve").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    more = {"ocr_first": True} if found.ocr_first and found.command == "route" else {}
+    more = {"ocr_first": found.ocr_first} if found.command in ("route", "route-files") else {}
+    more |= {"backends": found.backends} if found.command == "route-files" else {}
     COMMANDS[found.command](spark, found.source, found.target, **more)
 
 

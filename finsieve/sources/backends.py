@@ -1,13 +1,15 @@
 """What stands outside of Spark: page rendering, detection, text recognition and the model, each behind a small protocol.
 
 Replay backends answer from recorded tables, so everything else runs and is tested without them.
-Live ones are held once per Python worker and called over sorted partitions.
+Live ones are held once per Python worker and called over sorted partitions. Images go to workers in
+batches that spark.sql.execution.arrow.maxBytesPerBatch bounds, and come back one at a time.
 """
 
 from __future__ import annotations
 
 import base64
 import importlib.util
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -26,6 +28,7 @@ DPI, IMAGE_SIZE, CONFIDENCE, LANGUAGES = 300, 1024, 0.2, ("vi", "en")
 class PageRenderer(Protocol):
     def count_pages(self, path: str) -> int: ...
     def render(self, path: str, page_no: int) -> bytes: ...
+    def crop(self, image: bytes, box: tuple[int, int, int, int]) -> bytes: ...
 
 
 class LayoutBackend(Protocol):
@@ -78,7 +81,8 @@ def require_modules(*names: str) -> None:
         raise RuntimeError(f"missing modules: {', '.join(missing)}")
 
 
-def require_config(env: dict[str, str], names: tuple[str, ...] = ("OPENROUTER_API_KEY", "OPENROUTER_MODEL")) -> None:
+def require_config(env: dict[str, str], names: tuple[str, ...]) -> None:
+    """Fail before any job if settings are missing or empty, all of them named."""
     if missing := [n for n in names if not env.get(n)]:
         raise RuntimeError(f"missing settings: {', '.join(missing)}")
 
@@ -97,27 +101,60 @@ def held(key: object, make: Callable[[], object]) -> object:
     return _held[key]
 
 
+def answer_schema() -> dict:
+    """JSON Schema of the model's answer: a nullable integer for each field of the catalog."""
+    return {"type": "object", "properties": {k: {"type": ["integer", "null"]} for k in KEYS}, "required": list(KEYS), "additionalProperties": False}
+
+
 def build_prompt() -> str:
-    """The model's task: fields by form with codes and marks, rules, and the shape of the answer."""
-    sections = []
-    for form in dict.fromkeys(f.form for f in FIELDS):
-        lines = [f"{form} ({FORM_NAMES.get(form, form)}):"]
-        lines += [f'  "{f.key}" = "{f.label}", mã số {f.code}{" (bắt buộc)" if f.key in REQUIRED else ""}' for f in FIELDS if f.form == form]
-        sections.append("\n".join(lines))
-    rules = [
-        "Answer with one JSON object that has every key above and nothing else: no remarks, no fences.",
-        "A page shows one form as a rule; give null for the keys of the others.",
-        "Give null for what the page doesn't show. Never guess a number.",
-        "Numbers are plain integers without separators or units.",
-        "Keep the sign: a minus or brackets mean a negative number.",
-        "Keep the unit that the page states; don't convert.",
-        "Take the column of the latest period by its heading, wherever it stands.",
-        "Line codes and note references are not values; values are the large grouped numbers.",
-        "Lines may be numbered, in capitals or worded a little differently; go by meaning and line code.",
-    ]
-    numbered = "\n".join(f"{i}. {r}" for i, r in enumerate(rules, 1))
-    shape = ", ".join(f'"{k}": null' for k in KEYS)
-    return "Read these lines from the page of a financial report.\n\n" + "\n\n".join(sections) + f"\n\nRules:\n{numbered}\n\nShape:\n{{{shape}}}"
+    """The model's task: a table of the catalog's fields, how amounts are read, and a schema of the answer."""
+    rows = ["key | name on the page | form | line | below zero?"]
+    for f in FIELDS:
+        rows.append(f'"{f.key}" | {f.label}{" (bắt buộc)" if f.key in REQUIRED else ""} | {f.form} {FORM_NAMES.get(f.form, "")} | {f.code} | {"possible" if f.negative else "no"}')
+    reading = (
+        "The picture is one page of a Vietnamese financial report. Find the table's lines on it by their "
+        "meaning and line number, and copy the amount that each line has in the column headed with the "
+        "latest date. Write an amount as printed but without its separators, in whatever unit the page uses; "
+        "brackets or a leading minus make it negative. Small numbers beside a name are its line or a note, "
+        "not its amount. Whatever isn't printed here or can't be made out is null: most pages have lines "
+        "of one form at most, and no answer is better than an invented one."
+    )
+    table = "\n".join(rows)
+    return f"{reading}\n\n{table}\n\nReply with bare JSON that is valid under this schema:\n{json.dumps(answer_schema())}"
+
+
+@dataclass(frozen=True)
+class ChatBackend:
+    """A model behind a chat-completions interface over HTTP: a text and an image in, the first choice's text out."""
+
+    base_url: str
+    model: str
+    api_key: str
+    timeout: float = 120.0
+
+    def call(self, image_base64: str, prompt: str) -> Reply:
+        import http.client
+        import urllib.error
+        import urllib.request
+
+        content = [{"type": "text", "text": prompt}, {"type": "image_url", "image_url": {"url": f"data:image/png;base64,{image_base64}"}}]
+        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": content}]}).encode()
+        headers = {"Authorization": f"Bearer {self.api_key}", "Content-Type": "application/json"}
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{self.base_url.rstrip('/')}/chat/completions", body, headers), timeout=self.timeout) as answer:
+                choices = json.load(answer).get("choices")
+        except urllib.error.HTTPError as failure:
+            return Reply("retryable" if failure.code == 429 or failure.code >= 500 else "refused")
+        except (OSError, http.client.HTTPException, ValueError, AttributeError):  # no connection, a timeout, or an answer that is no JSON object
+            return Reply("retryable")
+        return Reply("ok", choices[0]["message"]["content"]) if choices else Reply("retryable")
+
+
+def chat_backend(env: dict[str, str], base_url: str, key_name: str, model_name: str) -> Callable[[], ChatBackend]:
+    """What makes the backend in each worker, from settings of the names given; fails at once if one is missing."""
+    require_config(env, (key_name, model_name))
+    made = ChatBackend(base_url, env[model_name], env[key_name])
+    return lambda: made
 
 
 # Documents to pages
@@ -146,19 +183,35 @@ def render_pages(pages: DataFrame, renderer: Callable[[], PageRenderer]) -> Data
     return pages.select("path", "page_no").mapInPandas(run, "path string, page_no int, image binary")
 
 
-def detect_boxes(images: DataFrame, backend: Callable[[], LayoutBackend]) -> DataFrame:
-    """(doc_id, page_no, width, height, boxes) of images (doc_id, page_no, image), as the layout operators take them."""
+def crop_regions(regions: DataFrame, renderer: Callable[[], PageRenderer]) -> DataFrame:
+    """(doc_id, page_no, region_no, image) of regions with their page's image, each cut out of it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = held(renderer, renderer)
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                box = tuple(row.region[c] for c in ("x1", "y1", "x2", "y2"))
+                yield pd.DataFrame({"doc_id": [row.doc_id], "page_no": [row.page_no], "region_no": [row.region_no], "image": [r.crop(row.image, box)]})
+
+    return regions.select("doc_id", "page_no", "region_no", "region", "image").mapInPandas(run, "doc_id long, page_no int, region_no int, image binary")
+
+
+BOXES = "doc_id long, page_no int, width int, height int, boxes array<struct<idx:int,cls:string,x1:double,y1:double,x2:double,y2:double>>"
+
+
+def detect_boxes(images: DataFrame, backend: Callable[[], LayoutBackend], with_images: bool = False) -> DataFrame:
+    """(doc_id, page_no, width, height, boxes) of images (doc_id, page_no, image), as the layout operators take them; with the image if wanted."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = held(backend, backend)
         for pdf in frames:
-            rows = []
             for r in pdf.itertuples(index=False):
                 width, height, found = model.detect(r.image)
-                rows.append((r.doc_id, r.page_no, width, height, [dict(zip(("idx", "cls", "x1", "y1", "x2", "y2"), (i, *b))) for i, b in enumerate(found)]))
-            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "width", "height", "boxes"])
+                boxes = [dict(zip(("idx", "cls", "x1", "y1", "x2", "y2"), (i, *b))) for i, b in enumerate(found)]
+                made = {"doc_id": [r.doc_id], "page_no": [r.page_no], "width": [width], "height": [height], "boxes": [boxes]}
+                yield pd.DataFrame(made | ({"image": [r.image]} if with_images else {}))
 
-    return images.select("doc_id", "page_no", "image").mapInPandas(run, "doc_id long, page_no int, width int, height int, boxes array<struct<idx:int,cls:string,x1:double,y1:double,x2:double,y2:double>>")
+    return images.select("doc_id", "page_no", "image").mapInPandas(run, BOXES + (", image binary" if with_images else ""))
 
 
 def read_regions(regions: DataFrame, backend: Callable[[], OcrBackend]) -> DataFrame:

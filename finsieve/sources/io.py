@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +76,12 @@ def latest_file(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("modified")))
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df written once and read again, so that nothing behind it is worked out twice or called again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Writers
 
 def result_json(df: DataFrame) -> DataFrame:
@@ -85,6 +96,46 @@ def write_results(df: DataFrame, path: str, kind: str = "routed") -> None:
     df.select(*keep).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}_{kind}.json")
 
 
+def plain_values(row: dict) -> dict:
+    """Numbers of a result as JSON has them: whole ones as integers, others as floats."""
+    return {k: v if v is None or isinstance(v, int) else int(v) if v == int(v) else float(v) for k, v in row.items()}
+
+
+def result_text(values: dict, warnings: list[str] | None = None) -> str:
+    """A result as a document's file holds it: fields in the catalog's order and, if given, the warnings."""
+    data = plain_values({k: values.get(k) for k in KEYS})
+    return json.dumps(data if warnings is None else {"data": data, "warnings": warnings}, ensure_ascii=False, indent=2) + "\n"
+
+
+def save_result(folder: str, name: str, values: dict, warnings: list[str] | None = None, kind: str = "routed") -> str:
+    """One file <folder>/<name>_<kind>.json, written whole or not at all. The folder may be of any file system that Arrow knows; gives its path."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    system.create_dir(root)
+    path = f"{root}/{name}_{kind}.json"
+    part = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
+        out.write(result_text(values, warnings).encode())
+    system.move(part, path)
+    return path
+
+
+def save_results(df: DataFrame, folder: str, name_col: str = "name", kind: str = "routed") -> int:
+    """A file a document, as save_result, written by the tasks into a folder that all executors share; gives their number."""
+    known = [c for c in KEYS if c in df.columns]
+    warned = "warnings" in df.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                save_result(folder, row[name_col], {k: None if pd.isna(row[k]) else row[k] for k in known}, list(row["warnings"]) if warned else None, kind)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    slim = df.select(F.col(name_col), *[F.col(k).cast("decimal(38,6)").alias(k) for k in known], *(["warnings"] if warned else []))
+    return slim.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_text(texts: DataFrame, path: str) -> None:
     """Texts that end in a line feed, one after another; the writer adds the last one again."""
     texts.select(F.regexp_replace(texts.columns[0], r"\n\z", "")).write.mode("overwrite").text(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -87,8 +88,8 @@ def summary_line(status: Column, total_seconds: Column, stages: Column, counters
 
 # Totals
 
-def contributions(runs: DataFrame) -> DataFrame:
-    """(name, value) that each run adds; a status out of the ordinary has a series of its own. Seconds are the rounded ones."""
+def contributions(runs: DataFrame, more: Column | None = None) -> DataFrame:
+    """(name, value) that each run adds; a status out of the ordinary has a series of its own. Seconds are the rounded ones. `more`: an array that each run adds besides."""
     one = F.lit(1.0)
     fixed = F.array(
         F.struct(F.lit("documents_total").alias("name"), one.alias("value")),
@@ -98,7 +99,7 @@ def contributions(runs: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<name:string,value:double>>")
     stages = F.transform(F.map_entries("stages"), lambda e: F.struct(F.concat(F.lit("stage_"), e["key"], F.lit("_seconds_total")).alias("name"), rounded(e["value"]).alias("value")))
     counters = F.transform(F.map_entries("counters"), lambda e: F.struct(F.concat(e["key"], F.lit("_total")).alias("name"), e["value"].cast("double").alias("value")))
-    return runs.select(F.inline(F.concat(fixed, F.coalesce(stages, empty), F.coalesce(counters, empty))))
+    return runs.select(F.inline(F.concat(fixed, F.coalesce(stages, empty), F.coalesce(counters, empty), *([] if more is None else [more]))))
 
 
 def totals(runs: DataFrame) -> DataFrame:
@@ -118,10 +119,38 @@ def exposition(known: DataFrame) -> DataFrame:
     return known.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", said.alias("said")))), lambda x: x["said"]), "").alias("text"))
 
 
-def stream_totals(runs: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Totals of a stream of runs in a table of the session, updated with each micro-batch; only as many rows as there are series."""
-    agg = contributions(runs).groupBy("name").agg(F.sum("value").alias("value"))
-    return agg.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_totals(runs: DataFrame, name: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
+    """Totals of a stream of runs in a table of the session, updated with each micro-batch; only as many rows as there are series.
+
+    The seeded series stand in the table from the first batch on, at 0 where no run adds to them. With
+    `seconds` the stream goes on and a batch is taken so often, as a scraper would; else what is
+    there is taken and the stream ends.
+    """
+    seeds = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(0.0).alias("value")) for n in SEEDED])
+    agg = contributions(runs, seeds).groupBy("name").agg(F.sum("value").alias("value"))
+    trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
+    return agg.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+class Totals:
+    """Totals of a service's own runs, added up as they end: as few numbers as there are series, whatever the number of runs."""
+
+    def __init__(self):
+        self.lock = threading.Lock()
+        self.known = dict.fromkeys(SEEDED, 0.0)
+
+    def add(self, run: tuple) -> None:
+        _, _, status, total_seconds, stages, counters, _ = run
+        parts = {"documents_total": 1.0, f"documents_{status}_total": 1.0, "seconds_total": round(total_seconds, 2)}
+        parts |= {f"stage_{k}_seconds_total": round(v, 2) for k, v in stages.items()} | {f"{k}_total": float(v) for k, v in counters.items()}
+        with self.lock:
+            for k, v in parts.items():
+                self.known[k] = self.known.get(k, 0.0) + v
+
+    def exposition(self) -> str:
+        """The text that exposition() gives of the same totals."""
+        with self.lock:
+            return "".join(f"# TYPE {PREFIX}{k} counter\n{PREFIX}{k} {v}\n" for k, v in sorted(self.known.items()))
 
 
 # Series of samples (metric, ts, value)

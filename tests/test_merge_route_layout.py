@@ -167,8 +167,10 @@ def test_prompt_names_all_fields():
 
 
 def test_backend_checks():
-    with pytest.raises(RuntimeError, match="OPENROUTER_API_KEY, OPENROUTER_MODEL"):
-        backends.require_config({})
+    with pytest.raises(RuntimeError, match="SOME_KEY, SOME_MODEL"):
+        backends.require_config({"OTHER": "x"}, ("SOME_KEY", "SOME_MODEL"))
+    with pytest.raises(RuntimeError, match="SOME_MODEL"):
+        backends.chat_backend({"SOME_KEY": "x"}, "http://127.0.0.1", "SOME_KEY", "SOME_MODEL")
     with pytest.raises(RuntimeError, match="no_such_module"):
         backends.require_modules("json", "no_such_module")
 

@@ -82,7 +82,36 @@ def test_streamed_totals_equal_batch_totals(spark, tmp_path):
     stream = spark.readStream.schema(runlog.RUN).option("maxFilesPerTrigger", 1).json(path)
     runlog.stream_totals(stream, "totals_now", str(tmp_path / "checkpoint")).awaitTermination()
     streamed = known(spark.table("totals_now"))
-    assert streamed == {k: v for k, v in known(runlog.totals(runs)).items() if k in streamed} and streamed["documents_total"] == 40
+    assert streamed == known(runlog.totals(runs)) and streamed["documents_total"] == 40 and streamed["documents_error_total"] == 0
+
+
+def test_stream_goes_on_by_an_interval(spark, tmp_path):
+    import time
+
+    path = str(tmp_path / "runs")
+    run(spark, ("ok", 0.5, {}, {})).write.json(path)
+    stream = spark.readStream.schema(runlog.RUN).json(path)
+    query = runlog.stream_totals(stream, "totals_on", str(tmp_path / "checkpoint"), seconds=1)
+    try:
+        query.processAllAvailable()
+        assert known(spark.table("totals_on"))["documents_ok_total"] == 1
+        run(spark, ("error", 0.5, {}, {})).write.mode("append").json(path)
+        until = time.time() + 60
+        while known(spark.table("totals_on"))["documents_total"] < 2 and time.time() < until:
+            time.sleep(0.2)
+        assert known(spark.table("totals_on"))["documents_error_total"] == 1
+    finally:
+        query.stop()
+
+
+def test_totals_of_a_service_are_those_of_its_log(spark):
+    rows = [(None, f"d{i}", ("ok", "error", "odd")[i % 3], i / 7, {"ocr": i / 3, "vlm": 0.005}, {"vlm_calls": i}, {}) for i in range(30)]
+    totals = runlog.Totals()
+    assert totals.exposition() == runlog.exposition(runlog.totals(spark.createDataFrame([], runlog.RUN))).first()[0]
+    for row in rows:
+        totals.add((*row[:3], round(row[3], 2), {k: round(v, 2) for k, v in row[4].items()}, *row[5:]))
+    batch = known(runlog.totals(spark.createDataFrame([(*r[:3], round(r[3], 2), {k: round(v, 2) for k, v in r[4].items()}, *r[5:]) for r in rows], runlog.RUN)))
+    assert set(totals.known) == set(batch) and all(abs(totals.known[k] - v) < 1e-6 for k, v in batch.items())
 
 
 def test_increase_is_aware_of_resets(spark):
