@@ -8,64 +8,54 @@ the row is marked as rejected.
 from __future__ import annotations
 
 import math
-import re
-from functools import cache
 
+import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import over_texts
+from .common import held, over_texts, quoted, stored
 
 UNKNOWN = "und"
-#: Bounds of what is learnt: documents and characters that a language's dictionary is made of.
-SAMPLE_ROWS, DICTIONARY_CHARS = 600, 96_000
-#: A document of the sample gives its dictionary a window of at most so many characters, at a place drawn by its hash (texts that are judged are never cut).
-SHARE_CHARS = 2_000
-LEVEL = 9
+#: Bounds of what is learnt: labelled rows that a language's dictionary is made of, whole texts each,
+#: and languages, those of most rows.
+SAMPLE_ROWS, MOST_LANGUAGES = 128, 64
+LEVEL = 6
 #: Bytes between the best and the second encoding under which a row is rejected.
 NARROW = 2
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def trained_on(doc_id: str = "doc_id") -> F.Column:
     """False for the fifth of the documents that is held out, to which those without an id belong."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5)) != 0
+    return F.pmod(F.crc32(F.coalesce(F.col(quoted(doc_id)).cast("string"), F.lit(""))), F.lit(5)) != 0
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id") -> dict[str, bytes]:
-    """Raw-content dictionaries of the languages in docs, from a bounded sample of each language's rows.
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> dict[str, bytes]:
+    """Raw-content dictionaries of the languages in docs, from the whole texts of at most sample_rows rows of each.
 
-    The rows of a language with the smallest hashes are taken; how small a hash must be follows from
-    the language's count, so that a scan finds them without sorting anything.
+    The rows of a language with the smallest hashes are taken, equal hashes by id; of rows that repeat
+    an id and a language, the smallest text. Of more than most_languages languages those of most ids
+    are learnt, equal ones by name, so that labels of noise can't fill the driver. Rows without a
+    text, language or id aren't learnt from. Ranks are cut to the bound before they are shuffled.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
-    if not counts:
-        return {}
-    draw = F.pmod(F.xxhash64(F.col(order_col)), F.lit(1 << 40))
-    limit = F.coalesce(*[F.when(F.col(lang_col) == lang, F.lit(min(1 << 40, int((1 << 40) * SAMPLE_ROWS / n) + 1))) for lang, n in counts.items()])
-    start = F.pmod(F.xxhash64(F.col(order_col), F.lit(1)), F.greatest(F.lit(1), F.char_length(text_col) - SHARE_CHARS + 1)).cast("int") + 1
-    share = F.substring(F.col(text_col), start, F.lit(SHARE_CHARS))
-    shares = labelled.withColumn("__draw", draw).where(F.col("__draw") < limit).select(F.col(lang_col).alias("lang"), "__draw", share.alias("share"))
-    sample = sorted(map(tuple, shares.limit(4 * SAMPLE_ROWS * len(counts)).collect()))
-    made = {}
-    for lang in sorted(counts):
-        content, chars = [], 0
-        for _, _, share in (s for s in sample if s[0] == lang):
-            if chars >= DICTIONARY_CHARS:
-                break
-            content.append(plain(share))
-            chars += len(share)
-        made[lang] = "\n".join(content).encode()
-    return {lang: content for lang, content in made.items() if len(content) >= 8}
+    labelled = docs.select(F.col(quoted(lang_col)).alias("lang"), F.col(quoted(order_col)).alias("id"), F.col(quoted(text_col)).alias("text")).dropna()
+    keys = stored(labelled.select("lang", "id").distinct(), "language-keys")
+    most = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    sample = keys.join(F.broadcast(most.select("lang")), "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_rows)
+    texts = labelled.join(F.broadcast(sample), ["lang", "id"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
+    made: dict[str, list[str]] = {}
+    for lang, _, text in sorted(map(tuple, texts.collect())):
+        made.setdefault(lang, []).append(plain(text))
+    dictionaries = {lang: "\n".join(parts).encode() for lang, parts in made.items()}
+    return {lang: content for lang, content in dictionaries.items() if len(content) >= 8}
 
 
 def plain(text: str) -> str:
     return text.lower()
 
 
-@cache
 def compressors(dictionaries: tuple[tuple[str, bytes], ...], level: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
     out = []
     for lang, content in dictionaries:
@@ -80,7 +70,7 @@ def judge(text: str | None, dictionaries: tuple[tuple[str, bytes], ...], level:
     if not text or not dictionaries or not LETTER.search(text):
         return UNKNOWN, 0.0, True
     data = plain(text).encode()
-    sizes = sorted((len(c.compress(data)), lang) for lang, c in compressors(dictionaries, level))
+    sizes = sorted((len(c.compress(data)), lang) for lang, c in held(("language_id", dictionaries, level), lambda: compressors(dictionaries, level)))
     margin = sizes[1][0] - sizes[0][0] if len(sizes) > 1 else len(data)
     return sizes[0][1], 1 / (1 + math.exp(-min(margin, 400) / 2)), margin < narrow
 
@@ -89,7 +79,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     """(id, lang_pred, score, rejected) of every whole text; one pass, no shuffle.
 
     lang_pred is the language of the smallest encoding even where it is rejected, `und` where the
-    text is null or has no letter, or nothing was learnt. Score is a half at equal sizes and grows
+    text is null or has no letter, or nothing was learnt. Texts of any length are encoded whole. Score is a half at equal sizes and grows
     to 1 with the margin; it is 0 for `und`. Repeated rows each give a row; an empty table gives
     none; other columns are ignored.
     """
@@ -101,4 +91,4 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Learn from the documents that aren't held out and judge all: id, held_out, lang_pred, score, rejected."""
     dictionaries = learn(docs.where(trained_on(id_col)), text_col, lang_col, id_col)
     made = identify(docs, dictionaries, id_col, text_col)
-    return made.select(id_col, (~trained_on(id_col)).alias("held_out"), "lang_pred", "score", "rejected")
+    return made.select(quoted(id_col), (~trained_on(id_col)).alias("held_out"), "lang_pred", "score", "rejected")

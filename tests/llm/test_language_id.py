@@ -1,6 +1,10 @@
+import struct
+import unicodedata
 import zlib
 
 import pytest
+import xxhash
+import zstandard
 
 from finsieve.llm import language_id as g
 from finsieve.llm.queries import op9_compression_language_id
@@ -30,7 +34,7 @@ def test_smallest_encoding_wins(learnt):
         assert found == lang and score > 0.5 and isinstance(rejected, bool)
 
 
-@pytest.mark.parametrize("text", [None, "", " \n", "123 !? 456", "١٢٣", "__"])
+@pytest.mark.parametrize("text", [None, "", " \n", "123 !? 456", "١٢٣", "__", "½²①", "Ⅷ", "\u0301"])
 def test_no_letter_is_unknown(learnt, text):
     assert g.judge(text, learnt) == ("und", 0.0, True)
 
@@ -62,8 +66,41 @@ def test_odd_rows(docs_of):
     assert nameless["held_out"] and nameless["lang_pred"] == "und"
 
 
-def test_dictionaries_are_bounded(docs_of, monkeypatch):
-    monkeypatch.setattr(g, "DICTIONARY_CHARS", 500)
-    monkeypatch.setattr(g, "SHARE_CHARS", 100)
-    made = g.learn(docs_of([f"word{i} " * 300 for i in range(100)], langs=["en"] * 100))
-    assert 500 <= len(made["en"]) <= 620
+def brute_dictionaries(rows, n=g.SAMPLE_ROWS, most=g.MOST_LANGUAGES):
+    """rows: (id, text, lang). Whole texts of the ids with the smallest hashes of each language."""
+    texts = {}
+    for i, text, lang in rows:
+        if i is not None and text is not None and lang is not None:
+            texts.setdefault(lang, {}).setdefault(i, []).append(text)
+    chosen = sorted(texts, key=lambda x: (-len(texts[x]), x))[:most]
+    order = lambda i: ((h := xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) - (h >> 63 << 64), i)
+    return {x: "\n".join(min(texts[x][i]).lower() for i in sorted(texts[x], key=order)[:n]).encode() for x in sorted(chosen)}
+
+
+def test_whole_query_equals_brute_force(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    dictionaries = brute_dictionaries([d for d in docs if zlib.crc32(str(d[0]).encode()) % 5])
+    assert dictionaries == g.learn(spark.read.parquet(f"{sf_dir}/documents.parquet").where(g.trained_on()))
+    want = {}
+    for i, text, _ in docs:
+        sizes = []
+        for lang, content in dictionaries.items():
+            one = zstandard.ZstdCompressor(level=g.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append((len(one.compress((text or "").lower().encode())), lang))
+        lettered = any(unicodedata.category(c).startswith("L") for c in text or "")
+        want[i] = min(sizes)[1] if lettered else "und"
+    assert {r["doc_id"]: r["lang_pred"] for r in op9_compression_language_id(spark, sf_dir).collect()} == want
+
+
+def test_dictionaries_are_bounded(docs_of):
+    texts = [f"word{i} " * 300 for i in range(100)] + ["noise"] * 3
+    ids, langs = [*range(100), 100, 101, 101], ["en"] * 60 + ["de"] * 40 + ["x", "y", "y"]
+    docs = docs_of(texts, ids=ids, langs=langs)
+    for n, most in ((7, 2), (3, 1), (200, 9)):
+        made = g.learn(docs, sample_rows=n, most_languages=most)
+        assert {k: v for k, v in brute_dictionaries(zip(ids, texts, langs), n, most).items() if len(v) >= 8} == made
+
+
+def test_columns_with_odd_names(docs_of):
+    docs = docs_of(["the and of", "der und die"], ids=[1, 2], langs=["en", "de"]).withColumnsRenamed({"doc_id": "doc.id", "text": "the.text", "lang": "a.lang"})
+    assert g.language_id(docs, "doc.id", "the.text", "a.lang").columns == ["doc.id", "held_out", "lang_pred", "score", "rejected"]
