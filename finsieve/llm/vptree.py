@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import groups, stored
+from .common import quoted, shared_path, stored
 
 LEAF = 256
-#: Vectors of a shard and queries of a block, at a time in one task.
-SHARD_ROWS, BLOCK_ROWS = 8192, 2048
+#: Vectors of a shard; queries of a block that is broadcast, and bytes of their components, as expected by hashing.
+SHARD_ROWS, BLOCK_ROWS, BLOCK_BYTES = 8192, 16_384, 16 << 20
 #: Distinct vectors kept beyond k, so that sums in another order can't cost a place.
 SLACK = 8
 #: Part of the squared distances within which scores may tie, and queries with ties that are compared with a whole shard at a time.
@@ -122,46 +122,109 @@ def shard_best(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray,
         yield i, ids[own[top]], scores[top]
 
 
+def matrices(batch: pa.RecordBatch, column: str = "v") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places in the batch, vectors) for each length that the batch's vectors have."""
+    lists = batch.column(column)
+    flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    starts = np.cumsum(lengths) - lengths
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        yield n, at, flat[starts[at][:, None] + np.arange(n)]
+
+
+class Best:
+    """The k best of each of a block's queries of one length, over all shards that were searched so far."""
+
+    def __init__(self, block: tuple[np.ndarray, np.ndarray, np.ndarray], k: int):
+        self.ids, self.rows, self.q = block
+        self.k, self.near = k, [(np.zeros(0, np.int64), np.zeros(0))] * len(self.ids)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
+
+    def add(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        self.waiting.append((x, ids, rows))
+        self.n_waiting += len(ids)
+
+    def search(self, factor: float, largest: float) -> None:
+        """Search what waits as one shard."""
+        if not self.waiting:
+            return
+        x, ids, rows = (np.concatenate(c) for c in zip(*self.waiting))
+        self.waiting, self.n_waiting = [], 0
+        for i, near, scores in shard_best(x, ids, rows, self.q, self.rows, self.k, factor, largest):
+            near, scores = np.concatenate([self.near[i][0], near]), np.concatenate([self.near[i][1], scores])
+            top = np.lexsort((near, -scores))[: self.k]
+            self.near[i] = near[top], scores[top]
+
+    def batch(self) -> pa.RecordBatch:
+        counts = [len(n) for n, _ in self.near]
+        near, scores = (np.concatenate([np.zeros(0, t), *[n[i] for n in self.near]]) for i, t in ((0, np.int64), (1, float)))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(self.ids, counts), np.repeat(self.rows, counts), near, scores)], names=["query_id", "query_row", "vec_id", "score"])
+
+
+def searched(rows: DataFrame, block: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, factor: float, shard_rows: int, largest: float) -> DataFrame:
+    """(query_id, query_row, vec_id, score): the k best in each of rows' partitions for each query of the block, which is broadcast.
+
+    A partition is searched where it lies, a shard at a time, and sends at most k rows a query on.
+    """
+    asked = rows.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {n: Best(part, k) for n, part in asked.value.items()}
+        for batch in batches:
+            ids, row = (batch.column(c).to_numpy() for c in ("vec_id", "row"))
+            for n, at, x in matrices(batch):
+                if n not in best:
+                    continue
+                for i in range(0, len(at), shard_rows):
+                    part = at[i : i + shard_rows]
+                    if best[n].n_waiting + len(part) > shard_rows:
+                        best[n].search(factor, largest)
+                    best[n].add(x[i : i + shard_rows], ids[part], row[part])
+        for one in best.values():
+            one.search(factor, largest)
+            yield one.batch()
+
+    return rows.select("vec_id", "row", "v").mapInArrow(run, "query_id long, query_row long, vec_id long, score double")
+
+
 def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, factor: float = 1.0, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that the SQL condition `queries` names, the k other rows of largest inner product.
 
-    Rows are dealt by hash to shards of about shard_rows, queries to blocks of about block_rows;
-    each pair of shard and block is one search in one task, of bounded memory. A shard sends at most
-    k rows a query on, and a query's partial lists are cut to k before they meet.
+    Vectors lie in the shared folder and aren't shuffled: each partition is searched in place, shard
+    after shard of shard_rows rows. Queries are broadcast in blocks that are bounded in rows and
+    bytes, a job each over all vectors, and only each partition's k best of a query are shuffled, cut
+    to k again before they meet. The work is that of queries times rows, less what the bounds leave out.
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-    rows with a null id, nor vectors of another length than most have. Equal scores stand by smaller
-    id; a repeated id is as many rows, of which a query leaves out its own alone. With fewer than k
-    others all are returned; an empty table gives no rows; other columns are ignored.
+    rows with a null id. Vectors of different lengths have no product, so each finds those of its own.
+    Equal scores stand by smaller id; a repeated id is as many rows, of which a query leaves out its
+    own alone. With fewer than k others all are returned; an empty table gives no rows; other columns
+    are ignored.
     """
     spark = vectors.sparkSession
-    finite = F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    v = F.col(vector_col).cast("array<double>")
-    sound = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).where(finite & F.exists(vector_col, lambda x: x != 0))
-    rows = stored(sound.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.expr(queries).alias("asked")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    given = F.col(quoted(vector_col))
+    finite = F.forall(given, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    sound = vectors.where(given.isNotNull() & F.col(quoted(id_col)).isNotNull()).where(finite & F.exists(given, lambda x: x != 0))
+    made = sound.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), given.cast("array<double>").alias("v"), F.expr(queries).alias("asked"))
+    rows = stored(made.withColumn("row", F.monotonically_increasing_id()), "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    facts = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("norm"), F.count_if("asked").alias("asked")).orderBy(F.desc("n"), "dim").first()
-    if facts is None or not facts["asked"]:
+    facts = rows.agg(F.count("*").alias("n"), F.max(norm).alias("norm"), F.count_if("asked").alias("asked"), F.sum(F.when(F.col("asked"), F.size("v") * 8)).alias("bytes")).first()
+    if not facts["asked"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n_shards, n_blocks = -(-facts["n"] // shard_rows), -(-facts["asked"] // block_rows)
-    rows = rows.where(F.size("v") == facts["dim"])
-    dealt = F.xxhash64("row")
-    shard, block = F.pmod(dealt, F.lit(n_shards)), F.pmod(F.shiftright(dealt, 20), F.lit(n_blocks))
-    index = rows.select("vec_id", "v", "row", F.lit(0).alias("role"), F.explode(F.transform(F.expr(f"sequence(0L, {n_blocks - 1}L)"), lambda b: shard * n_blocks + b)).alias("shard"))
-    asked = rows.where("asked").select("vec_id", "v", "row", F.lit(1).alias("role"), F.explode(F.transform(F.expr(f"sequence(0L, {n_shards - 1}L)"), lambda s: s * n_blocks + block)).alias("shard"))
+    n_blocks = max(-(-facts["asked"] // block_rows), -(-facts["bytes"] // BLOCK_BYTES))
     largest = facts["norm"] * (1 + 1e-12)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in groups(batches):
-            x = np.stack(table["v"].to_numpy(zero_copy_only=False))
-            ids, row, role = (table[c].to_numpy() for c in ("vec_id", "row", "role"))
-            a, b = role == 0, role == 1
-            if not a.any() or not b.any():
-                continue
-            q_ids, q_rows = ids[b], row[b]
-            parts = [(np.full(len(near), q_ids[i]), np.full(len(near), q_rows[i]), near, scores) for i, near, scores in shard_best(x[a], ids[a], row[a], x[b], q_rows, k, factor, largest)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["query_id", "query_row", "vec_id", "score"])
-
-    tasks = min(n_shards * n_blocks, 100_000)
-    made = index.unionByName(asked).repartition(tasks, "shard").sortWithinPartitions("shard", "role", "row").mapInArrow(run, "query_id long, query_row long, vec_id long, score double")
+    index = rows.coalesce(-(-facts["n"] // shard_rows))
+    path = shared_path(spark, "vector-neighbours")
+    for b in range(n_blocks):
+        asked = rows.where("asked").where(F.pmod(F.xxhash64("row"), F.lit(n_blocks)) == b).select("vec_id", "row", "v").toArrow()
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for batch in asked.to_batches():
+            for n, at, q in matrices(batch):
+                parts.setdefault(n, []).append((batch.column("vec_id").to_numpy()[at], batch.column("row").to_numpy()[at], q))
+        block = {n: tuple(np.concatenate(c) for c in zip(*found)) for n, found in parts.items()}
+        found = searched(index, block, k, factor, shard_rows, largest)
+        if n_blocks > 1:
+            found.write.mode("append").parquet(path)
+    made = found if n_blocks == 1 else spark.read.schema(found.schema).parquet(path)
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return made.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

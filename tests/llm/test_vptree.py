@@ -50,6 +50,21 @@ def test_few_and_none(spark):
     assert found(v.nearest(spark.createDataFrame([(0, [1.0, 1.0]), (20, [1.0, 2.0]), (3, [5.0])], schema))) == [(0, 1, 20, 3.0), (20, 1, 0, 3.0)]
 
 
+def test_each_length_is_a_space_of_its_own(spark):
+    draw = random.Random(9)
+    made = [(i, [draw.gauss(0, 1) for _ in range(draw.choice([2, 3, 3, 3, 7]))]) for i in range(300)]
+    df = spark.createDataFrame(made, "`vec.id` long, `em.bedding` array<float>").repartition(3)
+    got = found(v.nearest(df, "`vec.id` % 20 = 0", k=4, shard_rows=20, block_rows=3, id_col="vec.id", vector_col="em.bedding"))
+    exact = [(i, [float(np.float32(c)) for c in x]) for i, x in made]
+    want = [r for n in (2, 3, 7) for r in brute([x for x in exact if len(x[1]) == n], 4, lambda i: i % 20 == 0)]
+    assert sorted((q, r, j, round(s, 9)) for q, r, j, s in got) == sorted((q, r, j, round(float(s), 9)) for q, r, j, s in want)
+
+
+def test_vectors_are_not_shuffled(spark, sf_dir):
+    plan = op2_vantage_point_ann(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and plan.count("WindowGroupLimit") >= 1 and "Generate" not in plan
+
+
 def test_larger_factors_leave_out_more():
     draw = np.random.RandomState(0)
     centres = draw.randn(20, 4) * 5
