@@ -53,11 +53,16 @@ def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has neither fetch times nor a list: both are derived, times from page_id, dated entries from the names of hosts and of the domains of two labels."""
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
     pages = documents(spark, sf_dir, "pages").select("page_id", "url", day((F.col("page_id") % 730).cast("int")).alias("fetched_at"))
-    hosts = pages.select(host_of(F.col("url")).alias("pattern")).where("pattern is not null").distinct().withColumn("v", _drawn(F.col("pattern")))
-    domains = hosts.select(F.substring_index("pattern", ".", -2).alias("pattern")).distinct().withColumn("v", _drawn(F.col("pattern")))
-    steps = [(hosts, "v % 3 <> 0", "add", F.col("v") % 400), (hosts, "v % 3 = 1", "remove", F.col("v") % 400 + 90), (hosts, "v % 6 = 1", "add", F.col("v") % 400 + 200), (domains, "v % 5 = 0", "add", F.col("v") % 600)]
-    parts = [names.where(which).select("pattern", F.lit(action).alias("action"), day(at).alias("at")) for names, which, action, at in steps]
-    events = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    domain = F.substring_index("host", ".", -2)
+    drawn = hosts.select("host", domain.alias("domain"), _drawn(F.col("host")).alias("v"), _drawn(domain).alias("w"))
+
+    def event(pattern: str, which: str, action: str, at: Column) -> Column:
+        return F.when(F.expr(which), F.struct(F.col(pattern).alias("pattern"), F.lit(action).alias("action"), day(at).alias("at")))
+
+    v, w = F.col("v"), F.col("w")
+    made = [event("host", "v % 3 <> 0", "add", v % 400), event("host", "v % 3 = 1", "remove", v % 400 + 90), event("host", "v % 6 = 1", "add", v % 400 + 200), event("domain", "w % 5 = 0", "add", w % 600)]
+    events = drawn.select(F.inline(F.array_compact(F.array(*made))))
     return filter_captures(pages, events).withColumn("fetched_at", F.col("fetched_at").cast("string"))
 
 

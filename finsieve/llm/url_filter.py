@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS, quoted, stored
+
 # Fixed value: scheme, user info and then the host of a URL in lower case.
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
@@ -29,9 +31,9 @@ def intervals(events: DataFrame) -> DataFrame:
 
 
 def suffixes(host: Column) -> Column:
-    """The host and each domain above it."""
+    """The host and each domain above it but the last, of one label."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def filter_captures(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
@@ -40,15 +42,27 @@ def filter_captures(captures: DataFrame, events: DataFrame, id_col: str = "page_
     A capture is blocked if an entry for its host or a domain above it was in force when it was
     fetched; matched is the longest such pattern. Captures of one host and time are judged once, so
     a host of very many captures is a row per task and time before the join, and a pattern's
-    intervals don't overlap, so a host and pattern meet in one row at most.
+    intervals don't overlap, so a host and pattern meet in one row at most. A last label such as
+    `com`, which very many captures share, is looked up apart: among the list's patterns of one label,
+    which are broadcast if they are few, so that it isn't a key that rows are dealt by.
     Without a host or time a capture isn't blocked. Repeated rows each give a row; empty tables give
-    no rows or no blocks; other columns are ignored.
+    no rows or no blocks; hosts of any length are taken whole; other columns are ignored.
     """
-    slim = captures.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(at_col).alias("at"))
+    made = captures.select(F.col(quoted(id_col)).alias("id"), host_of(F.col(quoted(url_col))).alias("host"), F.col(quoted(at_col)).alias("at"))
+    slim = stored(made, "captures")
     asked = slim.where("host is not null and at is not null").select("host", "at").distinct()
-    patterns = asked.select("host", "at", F.explode(suffixes(F.col("host"))).alias("pattern"))
-    listed = intervals(events)
-    inside = (patterns["pattern"] == listed["pattern"]) & (patterns["at"] >= listed["since"]) & (listed["until"].isNull() | (patterns["at"] < listed["until"]))
-    found = patterns.join(listed, inside).groupBy("host", "at").agg(F.max_by(patterns["pattern"], F.length(patterns["pattern"])).alias("matched"))
+    listed = stored(intervals(events), "intervals")
+    top = listed.where("not contains(pattern, '.')")
+    top = F.broadcast(top) if top.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else top
+
+    def inside(names: DataFrame, entries: DataFrame) -> DataFrame:
+        n, e = names.alias("n"), entries.alias("e")
+        held = (F.col("n.pattern") == F.col("e.pattern")) & (F.col("n.at") >= F.col("e.since")) & (F.col("e.until").isNull() | (F.col("n.at") < F.col("e.until")))
+        return n.join(e, held).select("n.host", "n.at", "n.pattern")
+
+    long = inside(asked.select("host", "at", F.explode(suffixes(F.col("host"))).alias("pattern")), listed)
+    last = F.substring_index("host", ".", -1)
+    short = inside(asked.where("contains(host, '.')").select("host", "at", last.alias("pattern")), top)
+    found = long.unionByName(short).groupBy("host", "at").agg(F.max_by("pattern", F.length("pattern")).alias("matched"))
     judged = slim.join(found, ["host", "at"], "left")
     return judged.select(F.col("id").alias(id_col), "host", F.col("at").alias(at_col), "matched", F.col("matched").isNotNull().alias("blocked"))
