@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held, over_texts, slices
+from .common import apart, held, over_texts, quoted, slices
 
 #: Labelled rows that the chain is fitted on at most, those of the smallest hashes.
 LABELLED_ROWS = 8_000
@@ -154,11 +154,12 @@ def train_on(docs: DataFrame, labels: DataFrame, categories: dict[str, str], lab
 
     The sample is bounded, so it is broadcast, and only its features, not its texts, come to the driver.
     Of documents that repeat an id, the smallest text stands for it, so one row an id comes at most.
+    Labels without an id, or whose id no document has, are left out; null labels are no.
     """
     wanted = [F.coalesce(F.expr(sql), F.lit(False)).alias(f"__y{i}") for i, sql in enumerate(categories.values())]
-    rows = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *wanted).groupBy("__id").agg(*[F.max(f"__y{i}").alias(f"__y{i}") for i in range(len(wanted))])
+    rows = labels.where(F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).alias("__id"), *wanted).groupBy("__id").agg(*[F.max(f"__y{i}").alias(f"__y{i}") for i in range(len(wanted))])
     sample = rows.orderBy(F.xxhash64("__id"), "__id").limit(labelled_rows)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
+    texts = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(F.broadcast(sample), "__id")
     names = [f"__y{i}" for i in range(len(wanted))]
     texts = texts.groupBy("__id").agg(F.min("__text").alias("__text"), *[F.first(n).alias(n) for n in names])
     made = over_texts(texts, ["__id", *names], "__text", "words array<int>", lambda ts: ((features(t).tolist(),) for t in ts)).toArrow()
@@ -199,13 +200,14 @@ def predict(text: str | None, chain: Chain) -> list[float]:
     return out
 
 
-def score(docs: DataFrame, chain: Chain, text_col: str = "text", suffix: str = "_probability") -> DataFrame:
-    """docs with a column of each category's probability; one pass, no shuffle.
+def score(docs: DataFrame, chain: Chain, text_col: str = "text", names: list[str] | None = None) -> DataFrame:
+    """docs with a column of each category's probability, of the names given; one pass, no shuffle.
 
-    A null text counts as empty and gets what a text without known words gets. All columns are kept
-    but those of the very names that are made. An empty table gives no rows.
+    A null text counts as empty and gets what a text without known words gets; texts of any length
+    are scored whole. All columns are kept but those of the very names that are made, which are
+    replaced. Repeated rows each stay; an empty table gives no rows.
     """
-    names = [c + suffix for c in chain.categories]
+    names = names or [c + "_probability" for c in chain.categories]
     docs = docs.drop(*names)
     schema = StructType([*docs.schema.fields, *[StructField(name, DoubleType()) for name in names]])
     place = docs.columns.index(text_col)
@@ -217,7 +219,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", suffix: str = "
                 columns = list(zip(*made)) if made else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, pa.float64()) for c in columns]], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema)
 
 
 #: Categories of the table labels in the order of the chain: texts that aren't wanted for their
@@ -228,6 +230,22 @@ THRESHOLD = 0.3
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with low_quality_probability, toxic_probability and toxic (boolean), by a chain fitted on labels."""
+    """docs with low_quality_probability, toxic_probability and toxic (boolean), by a chain fitted on labels.
+
+    Columns of these three names that docs has are replaced. Null, long and repeated rows are as in
+    score(); without labels, or with an empty table of documents, nothing is toxic.
+    """
     chain = train_on(docs, labels, CATEGORIES, id_col=id_col, text_col=text_col)
     return score(docs, chain, text_col).withColumn("toxic", F.col("toxic_probability") >= threshold)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the chain, fitted on labels, doesn't call toxic; all columns kept, whatever their names.
+
+    Null texts stay, as do all rows where there are no labels; repeated rows are judged each; an
+    empty table gives no rows.
+    """
+    chain = train_on(docs, labels, CATEGORIES, id_col=id_col, text_col=text_col)
+    names = [apart(docs, f"{c}_probability") for c in chain.categories]
+    kept = score(docs, chain, text_col, names).where(F.col(names[chain.categories.index("toxic")]) < threshold)
+    return kept.drop(*names)

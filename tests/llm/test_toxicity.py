@@ -1,4 +1,6 @@
 import random
+import re
+import zlib
 
 import numpy as np
 
@@ -94,3 +96,73 @@ def test_whole_query(spark):
     got = {r["doc_id"]: r["toxic"] for r in op8_toxicity_chain(spark, sf).collect()}
     assert len(got) == 1000
     assert np.mean([got[i] for i, y in want.items() if y]) > 0.9 and np.mean([got[i] for i, y in want.items() if not y]) < 0.01
+
+
+def dense(labels, texts):
+    """The procedure once more, over one dense matrix of all features: {category: function of (row of features, earlier)}."""
+    def held(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        return {zlib.crc32(p.encode()) % t.BUCKETS for w in words for p in [w, *(w[:n] + "-" for n in (4, 5, 6) if n < len(w))]}
+
+    order = sorted(set().union(*map(held, texts)))
+
+    def row(text):
+        return np.isin(order, list(held(text))).astype(float)
+
+    matrix = np.array([row(x) for x in texts]).reshape(len(texts), len(order))
+
+    def regression(x, y, earlier):
+        there, inside = x.sum(axis=0), y @ x
+        expected = there * y.mean()
+        tells = np.where(there >= t.LEAST_ROWS, (inside - expected) ** 2 / np.maximum(expected, 1e-9), -1)
+        best = [i for i in np.argsort(-tells, kind="stable")[: t.FEATURES] if tells[i] >= 0]
+        whole = np.hstack([x[:, best], np.ones((len(x), 1)), earlier])
+        decay = np.r_[np.full(len(best), t.DECAY / np.sqrt(len(x))), np.zeros(1 + earlier.shape[1])]
+        w, m, v = np.zeros(whole.shape[1]), np.zeros(whole.shape[1]), np.zeros(whole.shape[1])
+        w[len(best)] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+        for step in range(1, t.STEPS + 1):
+            slope = whole.T @ (1 / (1 + np.exp(-np.clip(whole @ w, -30, 30))) - y) / len(x) + decay * w
+            m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+            w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        return lambda rows, e: 1 / (1 + np.exp(-np.clip(np.hstack([rows[:, best], np.ones((len(rows), 1)), e]) @ w, -30, 30)))
+
+    earlier, models = np.zeros((len(texts), 0)), []
+    for y in labels:
+        models.append(regression(matrix, y, earlier))
+        outside = np.zeros(len(texts))
+        for f in range(t.FOLDS):
+            out = np.arange(len(texts)) % t.FOLDS == f
+            outside[out] = regression(matrix[~out], y[~out], earlier[~out])(matrix[out], earlier[out])
+        earlier = np.column_stack([earlier, outside])
+
+    def predicted(text):
+        known = np.zeros((1, 0))
+        for model in models:
+            known = np.column_stack([known, model(row(text)[None, :], known)])
+        return known[0]
+
+    return predicted
+
+
+def test_whole_query_equals_brute_force(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    known = sorted((r["doc_id"], r["quality"] == 0, r["toxic"] == 1) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect())
+    assert len(known) <= t.LABELLED_ROWS and len({k[0] for k in known}) == len(known)
+    predicted = dense([np.array([float(k[i]) for k in known]) for i in (1, 2)], [docs[k[0]] for k in known])
+    got = {r["doc_id"]: r for r in op8_toxicity_chain(spark, sf_dir).collect()}
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        want = predicted(text)
+        assert np.allclose([got[i]["low_quality_probability"], got[i]["toxic_probability"]], want, atol=1e-6)
+        assert got[i]["toxic"] == (want[1] >= t.THRESHOLD)
+
+
+def test_stage_keeps_columns_of_any_name(spark, docs_of):
+    texts, labels = made(200, 5)
+    table = spark.createDataFrame([(i, int(not a), int(b)) for i, (a, b) in enumerate(labels)], "doc_id long, quality int, toxic int")
+    docs = docs_of(texts).withColumnsRenamed({"fp": "toxic", "row": "toxic_probability", "digest": "a.b", "shard": "low_quality_probability"})
+    kept = t.drop_toxic(docs, table)
+    assert kept.columns == docs.columns and kept.where("toxic = 'x' and toxic_probability = 1").count() == kept.count()
+    judged = {r["doc_id"] for r in t.toxicity(docs_of(texts), table).where("not toxic").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == judged and len(judged) < 200
+    assert t.drop_toxic(docs.limit(0), table).count() == 0
