@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -99,14 +101,25 @@ _held: dict[object, object] = {}
 def held(key: object, make: Callable[[], object]) -> object:
     """What an operator remembers in a Python worker, made when first needed.
 
-    Workers outlive stages, so the memory of one operator goes when another's is asked for.
+    Workers outlive stages, so the memory of one operator goes back to the system when another's is asked for.
     """
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            release()
         _held[key] = make()
     return _held[key]
 
 
+def release() -> None:
+    """Give free memory back to the system: Arrow's, and the C library's where it can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,13 +2,14 @@
 
 Fingerprints that differ in at most r bits agree in at least B - r of B blocks of bits, so rows are
 dealt by each choice of B - r blocks; those that share such a key form a bucket. A bucket is cut
-into shards of bounded size, each shard's BK-tree is sent to the bucket's other shards, and a search
-follows only edges within the radius. A shard reports a spanning forest of its links, never all
-pairs; components are then found over all shards' links.
+into shards of bounded size; a shard's rows are sent to the tasks of the bucket's other shards, where
+they are built into the shard's BK-tree, and a search follows only edges within the radius. A task
+reports a spanning forest of its links, never all pairs; components are then found over all links.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, over_texts, stored
+from .common import BROADCAST_ROWS, groups, located, locator, over_texts, quoted, stored, without
 from .components import components
 
 BITS, SEED = 64, 42
@@ -116,23 +117,28 @@ class Forest:
         self.parent[j] = i
 
 
-def shard_links(nodes: list[int], values: list[int], n_tree: int, radius: int, same: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
-    """Links (node, node) that span the shard's components.
+def shard_links(nodes: list[int], values: list[int], roles: list[int], radius: int, same: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
+    """Links (node, node) that span the shard's components; roles are those of link_rows.
 
-    The first n_tree rows make the tree. Rows behind them are only searched for; if there are none,
-    each row is searched for before it is added. `same` judges pairs of places within the radius
-    that aren't joined yet.
+    `same` judges pairs of places within the radius that aren't joined yet.
     """
     tree, forest = BkTree(), Forest(len(nodes))
-    mask = (1 << BITS) - 1
-    for i, value in enumerate(values):
+    mask, alone = (1 << BITS) - 1, 2 not in roles
+    places: list[int] = []
+    settled = None
+    for i, (value, role) in enumerate(zip(values, roles, strict=True)):
         value &= mask
-        if i >= n_tree or n_tree == len(values):
-            for _, j in tree.near(value, radius):
+        if role == 2 or (role == 1 and alone):
+            for _, at in tree.near(value, radius):
+                j = places[at]
                 if forest.root(i) != forest.root(j) and (same is None or same(i, j)):
                     forest.join(i, j)
-        if i < n_tree:
+        if role == 0:
+            settled = i if settled is None else settled
+            forest.join(i, settled)
+        if role < 2:
             tree.add(value)
+            places.append(i)
     for i in range(len(nodes)):
         if (j := forest.root(i)) != i:
             yield nodes[i], nodes[j]
@@ -165,21 +171,25 @@ def sharded(keyed: DataFrame, shard_rows: int) -> DataFrame:
     own = F.pmod(F.xxhash64("node", "fp"), F.col("m")).cast("int")
     placed = keyed.join(counts, ["table", "key"]).withColumn("m", F.ceil(F.col("n") / shard_rows)).withColumn("own", own)
     met = placed.withColumn("other", F.explode(F.expr("sequence(0, cast(m as int) - 1)")))
-    return met.select(F.xxhash64("table", "key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("role"), *[c for c in keyed.columns if c not in ("table", "key")])
+    return met.select(F.xxhash64("table", "key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), F.when(F.col("own") <= F.col("other"), 1).otherwise(2).alias("role"), *[c for c in keyed.columns if c not in ("table", "key")])
 
 
 def link_rows(rows: DataFrame, radius: int, verified: float | None = None) -> DataFrame:
-    """Links a, b of rows (shard, role, node, fp and, if verified, grams), one shard at a time."""
+    """Links a, b of rows (shard, role, node, fp and, if verified, grams), one shard at a time.
+
+    Rows of role 1 are in the tree and rows of role 2 are searched for; where there are none of role
+    2, each of role 1 is searched for before it is added. Rows of role 0 are in the tree too, and
+    known to be linked with each other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in groups(batches):
-            nodes, values = table["node"].to_pylist(), table["fp"].to_pylist()
-            n_tree = len(nodes) - sum(table["role"].to_pylist())
+            nodes, values, roles = (table[c].to_pylist() for c in ("node", "fp", "role"))
             same = None
             if verified is not None:
                 grams = table["grams"]
                 same = lambda i, j: jaccard(grams[i].as_buffer(), grams[j].as_buffer()) >= verified
-            found = list(shard_links(nodes, values, n_tree, radius, same))
+            found = list(shard_links(nodes, values, roles, radius, same))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
@@ -198,24 +208,31 @@ def simhash_groups(docs: DataFrame, k: int = 4, radius: int = 4, shard_rows: int
     """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id that links reach).
 
     Texts of one fingerprint are one node, found by partial aggregation, so copies cost nothing
-    further. A null text counts as empty; texts without words have fingerprint 0 and are linked like
-    any other. Rows without an id take part only through rows of the same fingerprint that have one,
-    else their component is null. Repeated rows each give a row; an empty table gives none; other
-    columns are ignored.
+    further. A null text counts as empty, one of any length is fingerprinted whole; texts without
+    words have fingerprint 0 and are linked like any other. Rows without an id link as others do, but
+    never name a component, which is null where no row has an id. Repeated rows each give a row; an
+    empty table gives none; other columns are ignored.
     """
-    made = stored(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), k, "id", "text"), "fingerprints")
-    distinct = stored(made.groupBy("fp").agg(F.min("id").alias("node")), "fingerprint-nodes")
-    found = components(near_fingerprints(distinct.where("node is not null"), radius, shard_rows))
-    named = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return made.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    slim = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
+    made = stored(fingerprints(slim, k, "id", "text"), "fingerprints")
+    distinct = stored(made.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.col("fp")), "fingerprint-nodes")
+    found = components(near_fingerprints(distinct.select("node", "fp"), radius, shard_rows))
+    linked = stored(distinct.join(found, "node").select("fp", "least", "component"), "fingerprint-components")
+    named = linked.select("fp", "component").join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
+    alone = distinct.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return made.join(named.unionByName(alone), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near duplicates by similarity
 
 #: Hashes of a band's key and number of bands: of pairs at 0.8, 499 in 500 share a band.
 BAND_HASHES, BANDS = 2, 6
-#: Bits that fingerprints of texts as similar as 0.8 may differ in: 3.6 standard deviations over the mean.
+#: Bits that fingerprints of texts as similar as 0.8 may differ in: 3.6 standard deviations over the mean. With BITS no pair of a bucket is left out.
 WIDE_RADIUS = 20
+#: Rows and bytes of shingle sets of a shard that is verified in one task.
+SET_ROWS, SET_BYTES = 256, 64 << 20
+#: Leaders that are broadcast at most, and bytes of their sets.
+LEADERS, LEADER_BYTES = 1024, 32 << 20
 
 
 def jaccard(a: memoryview | bytes, b: memoryview | bytes) -> float:
@@ -244,48 +261,132 @@ def band_keys(hashes: np.ndarray, bands: int = BANDS, size: int = BAND_HASHES) -
     return keys
 
 
-def sketch(text: str | None, k: int) -> tuple[int, list[int], bytes]:
-    """Fingerprint, band keys and the set of shingles as sorted 32-bit hashes.
+def sketch(text: str | None, k: int) -> tuple[int, list[int], bytes, bytes]:
+    """Fingerprint, band keys, the set of shingles as sorted 32-bit hashes, and that set's digest.
 
     The fingerprint is of the set too, without repeats: what repeats unevenly doesn't change similarity.
     """
     hashes = np.unique(np.concatenate(list(shingle_hashes(words_of(text), k))))
-    return signed(simhash([hashes])), band_keys(hashes), np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
+    grams = np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
+    return signed(simhash([hashes])), band_keys(hashes), grams, hashlib.sha256(grams).digest()
 
 
 def text_digest(text_col: str) -> Column:
-    return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    return F.sha2(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), 256)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, shard_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, digest, component, gone) of documents with near duplicates: Jaccard similarity of k-word shingles of at least `similarity`.
+def bucket_links(keyed: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """Links a, b that join rows of keyed (table, key, node, fp) which may be similar: those of one bucket and within the radius.
+
+    Every row goes to one task a key. A bucket of more than shard_rows rows is one group without a
+    look at fingerprints, which joins more than it must and costs a link a row.
+    """
+    counts = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    placed = keyed.join(counts, ["table", "key"])
+    small = placed.where(F.col("n") <= shard_rows).select(F.xxhash64("table", "key").alias("shard"), F.lit(1).alias("role"), "node", "fp")
+    return link_rows(small, radius).unionByName(placed.where(F.col("n") > shard_rows).select(F.col("node").alias("a"), F.col("least").alias("b")))
+
+
+def leaders_of(hot: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(component, node): of each component of hot (component, node) the row whose keys most others have too, equal ones by node."""
+    own = hot.join(keyed.select("table", "key", "node"), "node")
+    votes = own.groupBy("component", "table", "key").agg(F.count("*").alias("votes"))
+    scored = own.join(votes, ["component", "table", "key"]).groupBy("component", "node").agg(F.sum("votes").alias("score"))
+    return scored.groupBy("component").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("node"))
+
 
-    A null text counts as empty; texts without words are alike. A row is its id and its text's digest,
-    so rows that repeat an id with other texts are compared too: `digest` tells them apart, `gone` is
-    false for the first of a component, by id and digest. Rows without an id are compared among
-    themselves, with a null node and component. An empty table gives no rows.
+#: Columns of a row that is compared with its component's leader.
+SETTLED = ("component", "m", "node", "first")
+
+
+def verified_links(candidates: DataFrame, keyed: DataFrame, sets: DataFrame, similarity: float, radius: int, shard_rows: int, shard_bytes: int) -> DataFrame:
+    """Links a, b between similar rows of each candidate component (node, component); keyed: table, key, node; sets: node, fp, n_grams, grams.
+
+    Each candidate sends its set once. A component of more rows or bytes than a shard's is compared
+    with its most typical row, whose smallest hashes most others share: those that are similar to that
+    one are settled, linked and needn't meet each other any more. Only rows that aren't settled are
+    searched for in all of the component's shards, in chunks of a shard's rows.
+    """
+    sized = candidates.join(sets.select("node", "n_grams"), "node")
+    shards = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / shard_rows), F.ceil(F.sum(F.col("n_grams") * 4) / shard_bytes), F.lit(1)).cast("int").alias("m"))
+    named = stored(candidates.join(shards, "component"), "sketch-candidates")
+    few = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    members = stored(sets.drop("n_grams").join(F.broadcast(named) if few else named, "node"), "sketch-members")
+    cold = members.where("m = 1").select(F.col("component").alias("shard"), F.lit(1).alias("role"), "node", "fp", "grams")
+    links = link_rows(cold, radius, similarity)
+    hot = members.where("m > 1")
+    if hot.isEmpty():
+        return links
+    leaders = leaders_of(named.where("m > 1").select("component", "node"), keyed)
+    leaders = stored(hot.join(leaders, ["component", "node"]).select("component", F.col("node").alias("first"), F.col("grams").alias("leader")), "sketch-leaders")
+    n, size = leaders.select(F.count("*"), F.coalesce(F.sum(F.octet_length("leader")), F.lit(0))).first()
+    beside = hot.join(F.broadcast(leaders) if n <= LEADERS and size <= LEADER_BYTES else leaders, "component")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, leader = batch.column("grams"), batch.column("leader")
+            alike = [jaccard(grams[i].as_buffer(), leader[i].as_buffer()) >= similarity for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in SETTLED], pa.array(alike, pa.bool_())], names=[*SETTLED, "settled"])
+
+    judged = stored(beside.select(*SETTLED, "grams", "leader").mapInArrow(run, "component long, m int, node long, first long, settled boolean"), "sketch-settled")
+    links = links.unionByName(judged.where("settled and node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    loose = judged.where("not settled")
+    if loose.isEmpty():
+        return links
+    chunks = loose.groupBy("component").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
+    here = judged.join(chunks, "component").select("component", "node", own.alias("n"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("c"), F.when(F.col("settled"), 0).otherwise(1).alias("role"))
+    chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
+    there = loose.join(chunks, "component").select("component", "node", F.explode(F.expr("sequence(0, m - 1)")).alias("n"), chunk.alias("c"), F.lit(2).alias("role"))
+    rows = here.unionByName(there).select(F.xxhash64("component", "n", "c").alias("shard"), "role", "node").join(members.select("node", "fp", "grams"), "node")
+    return links.unionByName(link_rows(rows, radius, similarity))
+
+
+def _judged(source: DataFrame, k: int, similarity: float, radius: int, shard_rows: int, shard_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """(at, id, digest, first, gone) of rows of a located frame that have near duplicates."""
+    slim = source.select(locator().alias("at"), F.col(quoted(id_col)).cast("long").alias("id"), text_digest(text_col).alias("digest"), F.col(quoted(text_col)).alias("text"))
+    made = over_texts(slim, ["at", "id", "digest"], "text", "fp long, bands array<long>, grams binary, set binary", lambda texts: [sketch(t, k) for t in texts])
+    made = stored(made.withColumn("row", F.monotonically_increasing_id()).withColumn("named", F.col("id").isNotNull()).withColumn("n_grams", (F.octet_length("grams") / 4).cast("long")), "sketches")
+    nodes = stored(made.groupBy("named", "set").agg(F.min("row").alias("node"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "sketch-nodes")
+    keys = nodes.select("named", F.posexplode("bands").alias("table", "key"), "node", "fp")
+    keyed = keys.select(F.when(F.col("named"), F.col("table")).otherwise(F.col("table") + BANDS).alias("table"), "key", "node", "fp")
+    candidates = components(bucket_links(keyed, radius, SHARD_ROWS))
+    sets = made.select(F.col("row").alias("node"), "fp", "n_grams", "grams")
+    found = components(verified_links(candidates, keyed, sets, similarity, radius, shard_rows, shard_bytes))
+    of_set = nodes.select("named", "set", "node").join(found, "node", "left").select("named", "set", F.coalesce("component", "node").alias("component"))
+    linked = stored(made.select("named", "set", "at", "id", "digest").join(of_set, ["named", "set"]).select("at", "id", "digest", "component"), "sketch-components")
+    firsts = linked.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("id", "digest")).alias("first")).where("n > 1")
+    return linked.join(firsts, "component").select("at", "id", "digest", "first", (~F.struct("id", "digest").eqNullSafe(F.col("first"))).alias("gone"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, shard_rows: int = SET_ROWS, shard_bytes: int = SET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, digest, component, gone) of documents with near duplicates: Jaccard similarity of k-word shingles of at least `similarity`.
 
-    At such a similarity fingerprints differ in too many bits for keys of equal bits, so buckets are
-    made of equal smallest shingle hashes instead; in them, BK-trees over the fingerprints give the
-    pairs, which the sets of shingles then confirm. Only documents that share a bucket send their sets.
+    A null text counts as empty; texts without words are alike; one of any length is compared whole. A
+    row is its id and its text's digest, so rows that repeat an id with other texts are compared too:
+    `digest` tells them apart, `gone` is false for the first of a component, by id and digest. Rows
+    without an id are compared among themselves, with a null node and component. An empty table gives
+    no rows; other columns are ignored.
+
+    Rows of one set of shingles are one node. At such a similarity fingerprints differ in too many
+    bits for keys of equal bits, so buckets are made of equal smallest shingle hashes instead; in
+    them, BK-trees over the fingerprints select the pairs within the radius. What these join are
+    candidate components, whose rows alone send their sets, once, to be confirmed pair by pair, again
+    by BK-trees. Every shuffle is linear in the rows but for those of a component larger than a shard
+    that aren't similar to its most typical one: they meet all of its shards.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
-    made = stored(over_texts(slim, ["id", "digest"], "text", "fp long, bands array<long>, grams binary", lambda texts: [sketch(t, k) for t in texts]).withColumn("node", F.monotonically_increasing_id()), "sketches")
-    one = made.groupBy("id", "digest").agg(F.min("node").alias("node"))
-    keys = made.select("id", F.posexplode("bands").alias("table", "key"), "node", "fp")
-    keyed = keys.select(F.when(F.col("id").isNull(), F.col("table") + BANDS).otherwise(F.col("table")).alias("table"), "key", "node", "fp").join(one.select("node"), "node", "left_semi")
-    rows = stored(sharded(keyed, shard_rows), "sketch-shards")
-    found = components(link_rows(rows.join(made.select("node", "grams"), "node"), radius, similarity))
-    linked = stored(found.join(made.select("node", "id", "digest"), "node"), "sketch-components")
-    firsts = stored(linked.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first")), "sketch-firsts")
-    return linked.join(firsts, "component").select(F.col("id").alias("node"), "digest", F.col("first.id").alias("component"), (~F.struct("id", "digest").eqNullSafe(F.col("first"))).alias("gone"))
+    found = _judged(located(docs), k, similarity, radius, shard_rows, shard_bytes, id_col, text_col)
+    return found.select(F.col("id").alias("node"), "digest", F.col("first.id").alias("component"), "gone")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that are near duplicates of one with a smaller id, of each group; all columns kept.
 
     Of rows that repeat an id each is judged by its own text, and so are rows with a null id, but
-    only among themselves; rows of one id and text stay or go together. An empty table gives no rows.
+    only among themselves; rows of one id and text stay or go together. A null text is empty; an
+    empty table gives no rows. What goes is found by its locator, so texts aren't shuffled where the
+    locators are few enough to be broadcast.
     """
-    gone = near_duplicates(docs, k, similarity, id_col=id_col, text_col=text_col).where("gone").select(F.col("node").alias("__node"), F.col("digest").alias("__digest"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__node")) & (text_digest(text_col) == F.col("__digest")), "left_anti")
+    source = located(docs)
+    gone = stored(_judged(source, k, similarity, WIDE_RADIUS, SET_ROWS, SET_BYTES, id_col, text_col).where("gone").select("at"), "sketch-gone")
+    return without(source, gone).toDF(*docs.columns)

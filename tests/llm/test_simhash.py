@@ -175,3 +175,75 @@ def test_rows_that_repeat_an_id_are_judged_by_their_own_texts(docs_of):
     kept = [(r["doc_id"], r["text"]) for r in s.drop_near_duplicates(docs_of([t for _, t in made], ids=[i for i, _ in made])).collect()]
     assert {(1, one), (2, two), (None, one + " other")} < set(kept) and len(kept) == 5
     assert sum(i == 4 for i, _ in kept) == 1 and sum(i is None and t.startswith(four) for i, t in kept) == 1
+
+
+@pytest.fixture
+def counted(monkeypatch):
+    """Rows that are shuffled to tasks by link_rows, a number a call."""
+    seen, plain = [], s.link_rows
+    monkeypatch.setattr(s, "link_rows", lambda rows, *more: seen.append(rows.count()) or plain(rows, *more))
+    return seen
+
+
+def near_copies(n, seed, words=120):
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(7))
+    body = [word() for _ in range(words)]
+    return [" ".join([*body[: (at := draw.randrange(words))], word(), *body[at + 1 :]]) for _ in range(n)]
+
+
+def test_a_hot_group_is_shuffled_once_a_key_and_set(docs_of, counted, monkeypatch):
+    monkeypatch.setattr(s, "SHARD_ROWS", 40)
+    docs = docs_of([*near_copies(400, 3), *texts(60, 4)])
+    got = s.near_duplicates(docs, shard_rows=16)
+    assert got.where("node < 400").agg(F.count_distinct("component")).first()[0] == 1
+    assert sum(counted) <= (s.BANDS + 1) * 460
+
+
+def test_rows_unlike_a_hot_groups_first_still_meet_all(docs_of, monkeypatch):
+    """Two tight groups in one component, joined by a chain of small steps, and strangers in their buckets."""
+    monkeypatch.setattr(s, "SHARD_ROWS", 8)
+    base = near_copies(1, 8, 200)[0].split(" ")
+    other = near_copies(1, 9, 200)[0].split(" ")
+    chain = [" ".join(other[:i] + base[i:]) for i in range(0, 41, 4)]
+    made = [*chain, *[t + " tail" for t in chain], *near_copies(30, 10)]
+    sets = [grams(t) for t in made]
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    want = {i: r for i, r in groups(range(len(made)), similar).items() if i != r}
+    got = {r["node"]: r["component"] for r in s.near_duplicates(docs_of(made), radius=64, shard_rows=4).where("node <> component").collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_recall_of_near_copies(docs_of, edits):
+    """Pairs whose Jaccard similarity is 0.8 at least, by single words exchanged in texts of 150."""
+    draw = random.Random(edits)
+    word = lambda: "".join(draw.choice("abcdefghijklm") for _ in range(6))
+    made = []
+    for _ in range(120):
+        body = [word() for _ in range(150)]
+        copy = list(body)
+        for at in draw.sample(range(150), edits):
+            copy[at] = word()
+        made += [" ".join(body), " ".join(copy)]
+    sets = [grams(t) for t in made]
+    pairs = [i for i in range(0, 240, 2) if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8]
+    kept = {r["doc_id"] for r in s.drop_near_duplicates(docs_of(made)).select("doc_id").collect()}
+    found = sum(i + 1 not in kept for i in pairs)
+    assert len(pairs) > 30 and found >= 0.97 * len(pairs) and all(i in kept for i in range(0, 240, 2))
+
+
+def test_rows_without_an_id_link_others(docs_of):
+    """Of texts whose fingerprints are linked through that of a row without an id alone, both get one component."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    while True:
+        chain = [[word() for _ in range(60)]]
+        for _ in range(2):
+            chain.append([*chain[-1]])
+            chain[-1][draw.randrange(60)] = word()
+        one, two, three = (fingerprint(" ".join(c)) for c in chain)
+        if (one ^ two).bit_count() <= 4 and (two ^ three).bit_count() <= 4 < (one ^ three).bit_count():
+            break
+    got = s.simhash_groups(docs_of([" ".join(c) for c in chain], ids=[8, None, 6])).collect()
+    assert [r["component_id"] for r in got] == [6, 6, 6]
