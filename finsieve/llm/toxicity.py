@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import apart, held, over_texts, quoted, slices
+from .common import apart, held, over_texts, quoted, release, slices
 
 #: Labelled rows that the chain is fitted on at most, those of the smallest hashes.
 LABELLED_ROWS = 8_000
@@ -98,7 +98,7 @@ def chosen(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Features with the largest log odds between the classes, weighed by how often they stand."""
     everywhere = np.concatenate([*sets, np.zeros(0, np.int32)])
     there = np.bincount(everywhere, minlength=BUCKETS)
-    inside = np.bincount(everywhere, np.repeat(labels, [len(s) for s in sets]), minlength=BUCKETS)
+    inside = np.bincount(np.concatenate([*(s for s, y in zip(sets, labels) if y), np.zeros(0, np.int32)]), minlength=BUCKETS)
     n, n_inside = len(labels), labels.sum()
     expected = there * (n_inside / max(n, 1))
     score = np.where(there >= LEAST_ROWS, (inside - expected) ** 2 / np.maximum(expected, 1e-9), -1)
@@ -167,7 +167,11 @@ def train_on(docs: DataFrame, labels: DataFrame, categories: dict[str, str], lab
     words = pa.concat_arrays(made["words"].chunks) if made.num_rows else pa.array([], pa.list_(pa.int32()))
     flat, bounds = words.values.to_numpy(), words.offsets.to_numpy()
     sets = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
-    return train(sets, {c: np.array(made[n].to_pylist(), float) for c, n in zip(categories, names)})
+    wanted = {c: np.array(made[n].to_pylist(), float) for c, n in zip(categories, names)}
+    chain = train(sets, wanted)
+    del made, words, flat, sets
+    release()  # the driver goes on to other work
+    return chain
 
 
 class Weights(dict):
