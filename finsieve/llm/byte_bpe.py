@@ -2,7 +2,7 @@
 
 Each byte prefix of a piece has exactly one valid last token: the one that ends the encoding of
 that prefix. A token may follow another exactly if encoding the bytes of both gives just these two,
-which is decided by undoing merges on both sides of their border. A table of last tokens therefore
+which is decided by the merges along both sides of their border. A table of last tokens therefore
 grows by appending, and after an edit only the bytes near it are worked out again.
 """
 
@@ -44,7 +44,9 @@ class Vocabulary:
                 self.suffixes[suffix] = ranks.get(suffix, -1)
         self.halves: list[tuple[int, int]] = [(r, r) for r in range(len(self.bytes_of))]
         self.merged: dict[tuple[int, int], int] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
+        #: Judged pairs, by left << 32 | right.
+        self.follows: dict[int, bool] = {}
+        self.edges: tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]] = ({}, {})
         #: Last tokens of prefixes that many pieces share.
         self.prefixes: dict[bytes, int] = {}
         for rank in sorted(ranks.values()):
@@ -56,34 +58,46 @@ class Vocabulary:
                     self.merged[left, right] = rank
                     break
 
+    def _edge(self, token: int, side: int) -> tuple[int, ...]:
+        """The tokens that stand at a token's end (side 1) or beginning (side 0) while its bytes are merged, from a byte to the token itself."""
+        known = self.edges[side].get(token)
+        if known is None:
+            half = self.halves[token][side]
+            known = self.edges[side][token] = (token,) if half == token else (*self._edge(half, side), token)
+        return known
+
     def _judge(self, left: int, right: int) -> bool:
-        """Undo the later of the two border tokens' merges until a merge across the border would have come first, or none is left."""
-        limit = len(self.bytes_of) + 1
+        """Whether merging the bytes of both, lowest ranks first and leftmost of equal ones, never crosses their border.
+
+        As long as it doesn't, each side is merged as it would be alone, so what meets at the border is
+        one token of either edge, and a merge's rank is the token that it makes. The next merge there
+        is the lowest of three: the left edge's next, the one across, and the right edge's next, in
+        this order where they are equal, as it is their order in the text. If it is ever the one
+        across, the border is lost; if both edges come to their ends first, it stays.
+        """
+        lefts, rights, never = self._edge(left, 1), self._edge(right, 0), len(self.bytes_of)
+        i, j, across = 0, 0, self.merged.get
+        n_left, n_right = len(lefts) - 1, len(rights) - 1
         while True:
-            across = self.merged.get((left, right))
-            if across is not None and across < limit:
+            on_left = lefts[i + 1] if i < n_left else never
+            on_right = rights[j + 1] if j < n_right else never
+            crossing = across((lefts[i], rights[j]), never)
+            if crossing < on_left and crossing <= on_right and crossing < never:
                 return False
-            if left > right:
-                limit, left = left, self.halves[left][1]
-                if left != limit:
-                    continue
-                limit, right = right + 1, self.halves[right][0]
-                if right + 1 == limit:
-                    return True
+            if on_left == on_right == never:
+                return True
+            if on_left <= on_right:
+                i += 1
             else:
-                limit, right = right + 1, self.halves[right][0]
-                if right + 1 != limit:
-                    continue
-                limit, left = left, self.halves[left][1]
-                if left == limit:
-                    return True
+                j += 1
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self.follows.get((left, right))
+        pair = left << 32 | right
+        known = self.follows.get(pair)
         if known is None:
             if len(self.follows) >= REMEMBERED:
                 self.follows.clear()
-            known = self.follows[left, right] = self._judge(left, right)
+            known = self.follows[pair] = self._judge(left, right)
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -129,9 +143,8 @@ class PrefixTable:
         for start, token in reversed(candidates):
             if start == 0:
                 return token
-            pair = (last[start - 1], token)
-            known = follows.get(pair)
-            if judge(*pair) if known is None else known:
+            known = follows.get(last[start - 1] << 32 | token)
+            if judge(last[start - 1], token) if known is None else known:
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
