@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,11 +42,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, shared_path(df.sparkSession, name))
 
 
+#: Texts of a batch.
+TEXTS = 1024
+
+
 def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored_from_python(df: DataFrame, name: str) -> DataFrame:
+    """stored() of a pass through Python over whole texts: rows go to workers in batches of few, so that little text is held at a time on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    known = int(df.sparkSession.conf.get(key))
+    with settings(df.sparkSession, {key: str(min(known, TEXTS) if known > 0 else TEXTS)}):
+        return stored(df, name)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete folders that were stored and aren't needed further."""
     for path in paths:

@@ -9,13 +9,12 @@ checked by full bytes; texts met once are neither compared nor shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, discard, located, locator, quoted, shared_path, stored, stored_at, without
+from .common import BROADCAST_ROWS, ascii_lower, discard, located, locator, quoted, settings, shared_path, stored, stored_at, without
 
 #: Bytes of slim rows that a micro-batch takes.
 BATCH_BYTES = 256 << 20
@@ -38,18 +37,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@contextmanager
-def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def stream_state(spark: SparkSession, log_path: str, schema, checkpoint: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Run what the folder log_path holds and the state in `checkpoint` doesn't have yet through the state; gives the state.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import held, quoted, stored
+from .common import held, quoted, stored_from_python
 
 SEPARATOR = 0
 CAPACITY = 2048
@@ -24,7 +24,7 @@ WINDOW = 5000
 #: Documents that one packer takes, as expected by hashing.
 SHARD_ROWS = 200_000
 #: Chunks of a generation of memory, of which there are two.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Bytes of text that are cut into chunks at a time.
 BATCH_BYTES = 4 << 20
 #: A full stop or comma between an ASCII letter and a space, for RE2.
@@ -227,7 +227,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
     each; an empty table gives no rows; other columns are ignored.
     """
     made = cut_pieces(docs, path, capacity, separator, id_col, text_col)
-    pieces = stored(made.select(F.col("id"), F.inline("pieces")).withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    pieces = stored_from_python(made.select(F.col("id"), F.inline("pieces")).withColumn("__row", F.monotonically_increasing_id()), "pieces")
     whole = pieces.where(F.col("length") == capacity).select("id", "piece", "start", "length", "ids_crc32", (F.col("__row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity)
     n = rest.count()

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, apart, located, locator, over_texts, quoted, stored
+from .common import BROADCAST_ROWS, apart, located, locator, over_texts, quoted, stored, stored_from_python
 
 # The base kinds, in their order, with the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -106,7 +106,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other columns are ignored.
     """
     slim = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(repository_col)).cast("string").alias("__repository"), F.col(quoted(text_col)).alias("__text"))
-    found = stored(over_texts(slim, ["__id", "__repository"], "__text", FOUND, scanned).withColumn("__row", F.monotonically_increasing_id()), "secrets-found")
+    found = stored_from_python(over_texts(slim, ["__id", "__repository"], "__text", FOUND, scanned).withColumn("__row", F.monotonically_increasing_id()), "secrets-found")
     repository = F.coalesce(F.concat(F.lit("="), F.col("__repository")), F.lit(""))
     held = found.select("__row", "__id", "text_sha256", "base_sha256", F.explode("found").alias("span"), repository.alias("repository"))
     owners = (

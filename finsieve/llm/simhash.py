@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, groups, located, locator, over_texts, quoted, stored, without
+from .common import BROADCAST_ROWS, groups, located, locator, over_texts, quoted, stored, stored_from_python, without
 from .components import components
 
 BITS, SEED = 64, 42
@@ -214,7 +214,7 @@ def simhash_groups(docs: DataFrame, k: int = 4, radius: int = 4, shard_rows: int
     empty table gives none; other columns are ignored.
     """
     slim = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
-    made = stored(fingerprints(slim, k, "id", "text"), "fingerprints")
+    made = stored_from_python(fingerprints(slim, k, "id", "text"), "fingerprints")
     distinct = stored(made.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.col("fp")), "fingerprint-nodes")
     found = components(near_fingerprints(distinct.select("node", "fp"), radius, shard_rows))
     linked = stored(distinct.join(found, "node").select("fp", "least", "component"), "fingerprint-components")
@@ -346,7 +346,7 @@ def _judged(source: DataFrame, k: int, similarity: float, radius: int, shard_row
     """(at, id, digest, first, gone) of rows of a located frame that have near duplicates."""
     slim = source.select(locator().alias("at"), F.col(quoted(id_col)).cast("long").alias("id"), text_digest(text_col).alias("digest"), F.col(quoted(text_col)).alias("text"))
     made = over_texts(slim, ["at", "id", "digest"], "text", "fp long, bands array<long>, grams binary, set binary", lambda texts: [sketch(t, k) for t in texts])
-    made = stored(made.withColumn("row", F.monotonically_increasing_id()).withColumn("named", F.col("id").isNotNull()).withColumn("n_grams", (F.octet_length("grams") / 4).cast("long")), "sketches")
+    made = stored_from_python(made.withColumn("row", F.monotonically_increasing_id()).withColumn("named", F.col("id").isNotNull()).withColumn("n_grams", (F.octet_length("grams") / 4).cast("long")), "sketches")
     nodes = stored(made.groupBy("named", "set").agg(F.min("row").alias("node"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "sketch-nodes")
     keys = nodes.select("named", F.posexplode("bands").alias("table", "key"), "node", "fp")
     keyed = keys.select(F.when(F.col("named"), F.col("table")).otherwise(F.col("table") + BANDS).alias("table"), "key", "node", "fp")
