@@ -84,3 +84,14 @@ def test_whole_query(spark, sf_dir, library):
         ids = np.array(library.encode_ordinary(t), "<u4")
         assert got[i] == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     assert len(got) == len(docs)
+
+
+def test_memory_is_bounded_in_bytes(library, monkeypatch):
+    """Pieces of 64 long characters have hundreds of prefixes of hundreds of bytes."""
+    monkeypatch.setattr(b, "REMEMBERED_BYTES", 100_000, raising=False)
+    v = b.loaded(PATH)
+    known, draw = b.Pieces(v), random.Random(7)
+    for _ in range(200):
+        piece = "".join(draw.choice("日本語文字列検査") for _ in range(60))
+        assert np.frombuffer(known[piece], "<u4").tolist() == library._encode_single_piece(piece.encode())
+        assert sum(map(len, v.prefixes)) <= 200_000 and sum(len(k.encode()) + len(x) for k, x in known.items()) <= 101_000
