@@ -91,7 +91,7 @@ def apart(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows whose keys are broadcast at most; with some hundred bytes a key that is some 30 MB.
+#: Rows whose keys are broadcast at most; with some hundred bytes a row of short() that is some 30 MB.
 BROADCAST_ROWS = 1 << 18
 
 
@@ -112,11 +112,20 @@ def locator() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def short(at: Column) -> Column:
+    """A locator of 24 bytes however long the path is: the file as 128 bits of hashes, and the row's number.
+
+    The driver holds a broadcast row's key twice, which with paths was some 370 bytes a row.
+    """
+    return F.struct(F.xxhash64(at["file"]).alias("a"), F.xxhash64(F.lit(1), at["file"]).alias("b"), at["row"].alias("row"))
+
+
 def without(source: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of a located frame whose locators aren't in gone (at), which is broadcast if it has few rows."""
-    gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
-    at = apart(source, "at")
-    kept = source.withColumn(at, locator()).alias("s").join(gone.alias("g"), F.col(f"s.{at}") == F.col("g.at"), "left_anti")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    gone, at = gone.select(short(F.col("at")).alias("at")), apart(source, "at")
+    gone = F.broadcast(gone) if few else gone
+    kept = source.withColumn(at, short(locator())).alias("s").join(gone.alias("g"), F.col(f"s.{at}") == F.col("g.at"), "left_anti")
     return kept.drop(at)
 
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, apart, located, locator, over_texts, quoted, stored, stored_from_python
+from .common import BROADCAST_ROWS, apart, located, locator, over_texts, quoted, short, stored, stored_from_python
 
 # The base kinds, in their order, with the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -172,7 +172,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = located(docs)
     at, text, lives = (apart(docs, c) for c in ("at", text_col, "live"))
     spans = find_secrets(source.select(locator().alias("at"), F.col(quoted(text_col)).alias("text"), F.col(quoted(repository_col)).alias("repository")), "at", "text", "repository", live_owners)
-    live = stored(spans.where("n_live > 0").select(F.col("at").alias("__at"), F.col("live").alias(lives)), "secrets-live")
+    live = stored(spans.where("n_live > 0").select(short(F.col("at")).alias("__at"), F.col("live").alias(lives)), "secrets-live")
     n_rows, n_spans = live.select(F.count("*"), F.coalesce(F.sum(F.size(lives)), F.lit(0))).first()
     live = F.broadcast(live) if n_rows <= BROADCAST_ROWS and n_spans <= 4 * BROADCAST_ROWS else live
 
@@ -182,7 +182,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return pd.Series([None if live is None else masked(t, [(x["start"], x["end"]) for x in live]) for t, live in zip(texts, lives, strict=True)], dtype=object)
 
-    joined = source.withColumn(at, locator()).join(live, F.col(at) == F.col("__at"), "left")
+    joined = source.withColumn(at, short(locator())).join(live, F.col(at) == F.col("__at"), "left")
     given = F.col(quoted(text_col))
     done = joined.withColumn(text, F.when(F.col(lives).isNull(), given).otherwise(replaced(F.when(F.col(lives).isNotNull(), given), lives)))
     return done.select(*[F.col(quoted(text if c == text_col else s)).alias(c) for s, c in zip(source.columns, docs.columns, strict=True)])

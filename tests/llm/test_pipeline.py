@@ -115,3 +115,22 @@ def test_stages_take_odd_tables(spark, sf_dir):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == len({r["doc_id"] for r in left})
         if left:
             assert sorted(str(r["doc_id"]) for r in left) == ["1", "2", "3"] and {r["doc_id"]: r["text"] for r in left}[2] == "[SECRET] x"
+
+
+def test_locators_are_broadcast_without_paths(spark, tmp_path):
+    """The driver holds a locator of two dozen bytes; rows of one number in other files stay."""
+    from finsieve.llm.common import locator, without
+
+    for name in "ab":
+        spark.range(10).selectExpr("id", f"'{name}' name").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    source = spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/b")
+    gone = spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/b").where("name = 'a' and id in (3, 7) or name = 'b' and id = 0").select(locator().alias("at")).localCheckpoint()
+    left = without(source, gone)
+    assert left.columns == ["id", "name"]
+    assert sorted(map(tuple, left.collect())) == [(i, n) for i in range(10) for n in "ab" if (i, n) not in {(3, "a"), (7, "a"), (0, "b")}]
+    joins, plans = [], [left._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        joins += [plan] if plan.nodeName() == "Join" else []
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert len(joins) == 1 and "string" not in joins[0].right().schema().json()
