@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import discard, shared_path, stored_at
 
 MOST_ROUNDS = 60
+#: Rows of a file of a round's edges.
+FILE_ROWS = 1 << 16
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -32,8 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: long columns a and b, in any order and number; loops and nulls are left out. Minima are
     taken by partial aggregation and joined back, so that a node of very many links is split by AQE
-    and never held by one task. Each round's edges go to the shared folder and the round's before
-    are deleted; only two numbers of a round come to the driver. An empty table gives no rows.
+    and never held by one task. Each round's edges go to the shared folder, in as few files as their
+    number asks for, and the round's before are deleted; only two numbers of a round come to the
+    driver. An empty table gives no rows.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     spark, path, before = edges.sparkSession, shared_path(edges.sparkSession, "links"), None
@@ -44,6 +47,6 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = now
         done, path = path, shared_path(spark, "links")
-        edges = stored_at(_small_star(_large_star(edges).distinct()).distinct(), path)
+        edges = stored_at(_small_star(_large_star(edges).distinct()).distinct().coalesce(-(-now[0] // FILE_ROWS)), path)
         discard(spark, done)
     raise RuntimeError(f"no end after {MOST_ROUNDS} rounds")

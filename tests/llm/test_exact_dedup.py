@@ -79,6 +79,15 @@ def test_settings_are_put_back(spark):
     assert spark.conf.get(key) == before
 
 
+def test_no_store_stays_open(spark, docs_of):
+    module = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.streaming.state, "StateStore$"), "MODULE$")
+    field = module.getClass().getDeclaredField("loadedProviders")
+    field.setAccessible(True)
+    module.unloadAll()
+    assert e.exact_duplicates(docs_of([f"text {i % 40}" for i in range(100)])).where("kept").count() == 40
+    assert field.get(module).size() == 0
+
+
 def test_whole_query(spark, sf_dir):
     made = op4_exact_dedup(spark, sf_dir).toPandas()
     assert rows(made) == rows(oracle(ORACLES["op4_exact_dedup"], sf_dir))

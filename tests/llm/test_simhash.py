@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from finsieve.llm import simhash as s
+from finsieve.llm.common import settings
 from finsieve.llm.components import components
 from finsieve.llm.queries import op1_simhash_near_dedup
 
@@ -96,6 +97,27 @@ def test_every_pair_within_the_radius_shares_a_key(n):
     assert len(masks) <= 126
 
 
+def test_rounds_of_few_links_are_few_files(spark, monkeypatch):
+    import sys
+
+    files, module = [], sys.modules[components.__module__]
+
+    def counting(df, path, put=module.stored_at):
+        files.append(len((made := put(df, path)).inputFiles()))
+        return made
+
+    monkeypatch.setattr(module, "stored_at", counting)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    with settings(spark, {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        found = {tuple(r) for r in components(chain).collect()}
+    assert found == {(i, 0) for i in range(301)}
+    assert len(files) > 2 and set(files[1:]) == {1}
+    monkeypatch.setattr(module, "FILE_ROWS", 100)
+    with settings(spark, {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        assert {tuple(r) for r in components(chain).collect()} == found
+    assert files[-1] == 3
+
+
 def test_components_of_chains_stars_and_loops(spark):
     draw = random.Random(2)
     edges = [(i, i + 1) for i in range(1, 300)] + [(1000, i) for i in range(1001, 1400)] + [(5, 5)] + [(draw.randrange(2000, 2300), draw.randrange(2000, 2300)) for _ in range(250)]
